@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import bpe, mixing
 from .shared import prepare
 
 
@@ -19,8 +19,19 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(_table(spark, sf_dir, "documents"))
 
 
+def bpe_path() -> str:
+    """The byte-level BPE file of the public tokenizers; never copied here."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op4(_table(spark, sf_dir, "documents"), bpe_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_source_mixing,)}
+    return {f.__name__: f for f in (op4_bpe_round_trip, op5_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
