@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing
+from . import bpe, langid, minhash, mixing
 from .shared import prepare
 
 
@@ -30,12 +30,16 @@ def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op1(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op3(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(_table(spark, sf_dir, "documents"), bpe_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_duplicates, op4_bpe_round_trip, op5_source_mixing)}
+    return {f.__name__: f for f in (op1_minhash_near_duplicates, op3_language_id, op4_bpe_round_trip, op5_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
