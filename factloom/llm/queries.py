@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing
+from . import bpe, embeddings, langid, minhash, mixing, quality
 from .shared import prepare
 
 
@@ -38,8 +38,16 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(_table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.op10(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_duplicates, op3_language_id, op4_bpe_round_trip, op5_source_mixing)}
+    return {f.__name__: f for f in (op1_minhash_near_duplicates, op3_language_id, op4_bpe_round_trip, op5_source_mixing, op8_quality_classifier, op10_embedding_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
