@@ -86,11 +86,11 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Link counts (b null) and forest edges (n null) of pairs of blocks."""
     for batch in batches:
-        for row in batch.to_pylist():
-            a, b = row["left"], row["right"]
-            va, vb = (np.array([m["v"] for m in x], np.float64) for x in (a, b))
-            na, nb = (np.array([m["node"] for m in x], np.int64) for x in (a, b))
-            copies = np.array([m["copies"] for m in b], np.int64)
+        for at in range(batch.num_rows):
+            a, b = (batch.column(side).slice(at, 1).flatten() for side in (0, 1))
+            va, vb = (m.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1) for m in (a, b))
+            na, nb = (m.field("node").to_numpy(zero_copy_only=False) for m in (a, b))
+            copies = b.field("copies").to_numpy(zero_copy_only=False)
             linked = (va @ vb.T >= COSINE) & (na[:, None] != nb[None, :])
             counts = linked @ copies
             some = np.flatnonzero(counts)

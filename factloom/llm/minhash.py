@@ -199,9 +199,10 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     chance, least = 2.0**-BITS, PERCENT / 100 - MARGIN
     odd = np.uint64(0x5555555555555555)
     for batch in batches:
-        for row in batch.to_pylist():
-            x, y = ([np.array([m[k] for m in row[side]], np.int64) for k in ("node", "component", "n")] for side in ("left", "right"))
-            sx, sy = (np.array([m["sig"] for m in row[side]], np.int64).view(np.uint64).reshape(-1, LONGS) for side in ("left", "right"))
+        for at in range(batch.num_rows):
+            x, y = (batch.column(side).slice(at, 1).flatten() for side in (0, 1))
+            sx, sy = (m.field("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LONGS) for m in (x, y))
+            x, y = ([m.field(k).to_numpy(zero_copy_only=False) for k in ("node", "component", "n")] for m in (x, y))
             differ = np.zeros((len(sx), len(sy)), np.int64)
             for i in range(LONGS):
                 z = sx[:, i, None] ^ sy[None, :, i]
