@@ -12,8 +12,9 @@
    full sets, which are made anew for just the documents concerned.
 5. Components of the confirmed links.  In buckets that still hold several
    components, members outside the smallest node's component are compared, block by
-   block on signatures, with all others; survivors are confirmed as before.  So each
-   pair that shares a bucket is either in one component or has been compared.
+   block, with all others: on signatures, then on bitmaps of the sets, whose
+   differing bits bound the similarity from above.  Survivors are confirmed as
+   before.  So each pair that shares a bucket is in one component or was compared.
 
 A pair at similarity 0.75 shares no band with a probability of 2e-5, and is
 dropped by the estimate with one of 1e-7.
@@ -45,7 +46,9 @@ PERCENT = 75
 MARGIN = 0.20
 #: Members of a bucket compared at once in step 5.
 BLOCK = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+#: Ids (8 bytes each) up to which a list of documents is broadcast.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20_231_117)
 XOR = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
@@ -181,8 +184,8 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs(a, b) that reach the threshold on their whole sets."""
     pairs = scratch.keep(pairs, "likely")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets, SETS)
+    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    sets = _some(texts, wanted).select("node", "text").mapInArrow(_sets, SETS)
     sets = scratch.keep(sets, "sets")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -191,6 +194,48 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     return both.where(common * 100 >= union * PERCENT).select("a", "b").distinct()
 
 
+BITMAPS = T.StructType([T.StructField("node", T.LongType()), T.StructField("bitmap", T.BinaryType())])
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit per low bits of each hash, 16 bits or more for each of them; a power of two."""
+    bits = max(64, 1 << int(16 * max(s.size, 1) - 1).bit_length())
+    at = s & np.uint64(bits - 1)
+    out = np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bitmap(shingles(t)).tobytes() for t in text_bytes(part.column(1))], pa.binary())], BITMAPS.names)
+
+
+def _differing(x: list[np.ndarray], y: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits that differ between the pairs' bitmaps, the larger folded to the smaller's size.
+
+    Each stands for a shingle that only one of the two sets has, so this never
+    exceeds the size of their difference.
+    """
+    out = np.zeros(i.size, np.int64)
+    size_x, size_y = (np.array([m.size for m in side]) for side in (x, y))
+    kinds = size_x[i] << 32 | size_y[j]
+    for kind in np.unique(kinds):
+        pairs = np.flatnonzero(kinds == kind)
+        words = int(min(kind >> 32, kind & 0xFFFFFFFF))
+        stacks = []
+        for side, at in ((x, i[pairs]), (y, j[pairs])):
+            used, inverse = np.unique(at, return_inverse=True)
+            stacks.append((np.stack([np.bitwise_or.reduce(side[k].reshape(-1, words), axis=0) for k in used]), inverse))
+        step = max(1, 500_000 // words)
+        for at in range(0, pairs.size, step):
+            a, b = (stack[inverse[at : at + step]] for stack, inverse in stacks)
+            out[pairs[at : at + step]] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
+
+
 BLOCKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -201,6 +246,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for at in range(batch.num_rows):
             x, y = (batch.column(side).slice(at, 1).flatten() for side in (0, 1))
+            maps = [[np.frombuffer(z, np.uint64) for z in m.field("bitmap").to_pylist()] for m in (x, y)]
             sx, sy = (m.field("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LONGS) for m in (x, y))
             x, y = ([m.field(k).to_numpy(zero_copy_only=False) for k in ("node", "component", "n")] for m in (x, y))
             differ = np.zeros((len(sx), len(sy)), np.int64)
@@ -211,11 +257,20 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             good = (1 - differ / PERMUTATIONS - chance) / (1 - chance) >= least
             good &= (x[1][:, None] != y[1][None, :]) & (small * 100 >= large * PERCENT)
             i, j = np.nonzero(good)
-            a, b = x[0][i], y[0][j]
+            both, apart = x[2][i] + y[2][j], _differing(*maps, i, j)
+            could = (both - apart) * 100 >= (both + apart) * PERCENT
+            a, b = x[0][i[could]], y[0][j[could]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], BLOCKS.names)
 
 
-def _rest_of_buckets(members: DataFrame, components: DataFrame, sigs: DataFrame, scratch: Scratch) -> DataFrame:
+def _some(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of some nodes, without moving the others' where the ids are few enough to broadcast."""
+    wanted = nodes.select("node").distinct()
+    few = nodes.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "node", "left_semi")
+
+
+def _rest_of_buckets(members: DataFrame, components: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Likely pairs of members(key, node, hub, size) that no star has compared.
 
     A bucket is worked on if some member isn't in its hub's component.  Its members
@@ -232,8 +287,10 @@ def _rest_of_buckets(members: DataFrame, components: DataFrame, sigs: DataFrame,
     span = placed.groupBy("key").agg(F.max(outside).alias("open"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     open_keys = scratch.keep(span.where("open and c0 <> c1").select("key"), "open")
     parts = F.ceil(F.col("size") / F.lit(BLOCK))
-    placed = placed.join(open_keys, "key", "left_semi").withColumn("part", F.struct(outside.alias("out"), F.pmod(F.xxhash64("node"), parts).alias("at")))
-    member = F.struct("node", "component", "n", "sig")
+    placed = scratch.keep(placed.join(open_keys, "key", "left_semi"), "placed")
+    bitmaps = scratch.keep(_some(texts, scratch.keep(placed.select("node").distinct(), "nodes")).mapInArrow(_bitmaps, BITMAPS), "bitmaps")
+    placed = placed.join(bitmaps, "node").withColumn("part", F.struct(outside.alias("out"), F.pmod(F.xxhash64("node"), parts).alias("at")))
+    member = F.struct("node", "component", "n", "sig", "bitmap")
     blocks = scratch.keep(placed.groupBy("key", "part").agg(F.collect_list(member).alias("block")), "blocks")
     left = blocks.where("part.out").select("key", F.col("part").alias("p"), F.col("block").alias("left"))
     right = blocks.select("key", F.col("part").alias("q"), F.col("block").alias("right"))
@@ -269,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.keep(_confirmed(_likely(stars, sigs), texts, scratch), "links")
     components = scratch.keep(connected_components(links, scratch), "components")
-    more = _rest_of_buckets(members, components, sigs, scratch)
+    more = _rest_of_buckets(members, components, sigs, texts, scratch)
     more = scratch.keep(_confirmed(more, texts, scratch), "links")
     if not more.isEmpty():
         components = scratch.keep(connected_components(links.unionByName(more), scratch), "components")
