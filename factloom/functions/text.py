@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,10 +41,6 @@ def general(x: Column) -> Column:
     return F.when(x == 0, F.lit("0")).otherwise(F.coalesce(trimmed, exponent_form))
 
 
-def list_of_doubles(values: Iterable[Column]) -> Column:
-    return F.concat(F.lit("["), F.concat_ws(", ", *[shortest(v) for v in values]), F.lit("]"))
-
-
 def quoted(c: Column) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 

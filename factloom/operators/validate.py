@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import general, shortest
 from ..registry.categories import Category, builtin
 from ..registry.validation_rules import ERROR, RULES, Rule
 
@@ -15,8 +16,8 @@ def _number(field: str) -> Column:
     return F.try_element_at(F.col("numbers"), F.lit(field))
 
 
-def _issue(rule_id: Column, field: Column, severity: Column, ran: Column, holds: Column, message: Column) -> Column:
-    return F.struct(rule_id.alias("rule_id"), field.alias("field"), severity.alias("severity"), F.coalesce(ran, F.lit(False)).alias("ran"), (ran & ~holds).alias("failed"), message.alias("message"))
+def _check(rule_id: str, field: str, severity: str, ran: Column, holds: Column, message: str, values: Column) -> Column:
+    return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(field).alias("field"), F.lit(severity).alias("severity"), F.coalesce(ran, F.lit(False)).alias("ran"), (ran & ~holds).alias("failed"), F.lit(message).alias("template"), values.alias("values"))
 
 
 def _checked(rule: Rule) -> Column:
@@ -24,7 +25,7 @@ def _checked(rule: Rule) -> Column:
     ran = values[0].isNotNull()
     for v in values[1:]:
         ran = ran & v.isNotNull()
-    return _issue(F.lit(rule.id), F.lit(rule.fields[0]), F.lit(rule.severity), ran, rule.holds(*values), rule.message(*values))
+    return _check(rule.id, rule.fields[0], rule.severity, ran, rule.holds(*values), rule.message, F.array(*values))
 
 
 def _domain_rules(categories: Iterable[Category]) -> list[Column]:
@@ -36,12 +37,21 @@ def _domain_rules(categories: Iterable[Category]) -> list[Column]:
                 continue
             value = F.try_element_at(F.col("texts"), F.lit(f.name))
             listed = "[" + ", ".join(f"'{e}'" for e in sorted(f.enum)) + "]"
-            message = F.concat(F.lit(f"{f.name} '"), value, F.lit(f"' not in schema enum {listed}"))
             ran = (F.col("category") == c.name) & value.isNotNull()
-            out.append(_issue(F.lit(f"{f.name}_enum"), F.lit(f.name), F.lit(ERROR), ran, F.lower(value).isin(*[e.lower() for e in f.enum]), message))
+            out.append(_check(f"{f.name}_enum", f.name, ERROR, ran, F.lower(value).isin(*[e.lower() for e in f.enum]), f"{f.name} '{{value}}' not in schema enum {listed}", F.array().cast("array<double>")))
     return out
 
 
+def _message(c: Column) -> Column:
+    """The template with its values, in general format; only made for rules that fail."""
+    shown = F.transform(c["values"], general)
+    text = F.replace(c["template"], F.lit("{*}"), F.concat(F.lit("["), F.concat_ws(", ", F.transform(c["values"], shortest)), F.lit("]")))
+    for i in range(3):
+        text = F.replace(text, F.lit(f"{{{i}}}"), F.coalesce(F.get(shown, F.lit(i)), F.lit("")))
+    text = F.replace(text, F.lit("{value}"), F.coalesce(F.try_element_at("texts", c["field"]), F.lit("")))
+    return F.when(c["failed"], text)
+
+
 def check_rules(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
     """(product_id, rule_ord, rule_id, field, severity, ran, failed, message), every rule for every product.
 
@@ -51,8 +61,8 @@ def check_rules(fused: DataFrame, categories: Iterable[Category] | None = None,
     # A product has at most as many rows as its category has fields.
     wide = fused.groupBy("product_id", "category").agg(named("value_num").alias("numbers"), named("value_str").alias("texts"))
     checks = F.array(*[_checked(r) for r in rules], *_domain_rules(categories if categories is not None else builtin()))
-    rows = wide.select("product_id", F.posexplode(F.filter(checks, lambda c: c["ran"])).alias("rule_ord", "c"))
-    return rows.select("product_id", "rule_ord", "c.*")
+    rows = wide.select("product_id", "texts", F.posexplode(F.filter(checks, lambda c: c["ran"])).alias("rule_ord", "c"))
+    return rows.select("product_id", "rule_ord", "c.rule_id", "c.field", "c.severity", "c.ran", "c.failed", _message(F.col("c")).alias("message"))
 
 
 def validation(checks: DataFrame) -> DataFrame:
