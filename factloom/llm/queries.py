@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, langid, minhash, mixing, quality
+from . import bpe, editcount, embeddings, langid, merkle, minhash, mixing, packing, quality
 from .shared import prepare
 
 
@@ -30,6 +30,10 @@ def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op1(_table(spark, sf_dir, "documents"))
 
 
+def op2_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editcount.op2(_table(spark, sf_dir, "documents"), bpe_path())
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op3(_table(spark, sf_dir, "documents"))
 
@@ -38,17 +42,25 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(_table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op7_packed_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op7(_table(spark, sf_dir, "documents"), bpe_path())
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op9(_table(spark, sf_dir, "pages"))
+
+
 def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.op10(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_duplicates, op3_language_id, op4_bpe_round_trip, op5_source_mixing, op8_quality_classifier, op10_embedding_near_duplicates)}
+    return {f.__name__: f for f in (op1_minhash_near_duplicates, op2_edit_aware_token_counts, op3_language_id, op4_bpe_round_trip, op5_source_mixing, op7_packed_token_matrices, op8_quality_classifier, op9_warc_fixity_audit, op10_embedding_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc_fixity_audit": merkle.OP9_SQL}
