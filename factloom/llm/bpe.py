@@ -163,10 +163,14 @@ class Bpe:
         index = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         return self.word_ids[_spans(self.word_at[index], self.word_len[index])]
 
-    def counts(self, words: list[str]) -> np.ndarray:
-        """Number of ids of each word (pre-token)."""
+    def learn(self, texts: Iterable[list[str]]) -> None:
+        """Encode all unknown words of some texts (pre-tokens) in one batch."""
         if len(self.words) > CACHE_WORDS:
             self._reset()
+        self._learn(texts)
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """Number of ids of each word (pre-token)."""
         self._learn([words])
         return self.word_len[np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))]
 

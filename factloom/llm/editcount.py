@@ -84,6 +84,11 @@ class CountedText:
 
     def edit(self, start: int, stop: int, new: str) -> int:
         """Replace text[start:stop] by `new`; the new token count.  Positions are clipped to the text."""
+        self.commit(self.cut(start, stop, new))
+        return self.count
+
+    def cut(self, start: int, stop: int, new: str) -> tuple:
+        """An edit's new pre-tokens (the last part) and where they go; changes nothing yet."""
         start = min(max(start, 0), len(self))
         stop = min(max(stop, start), len(self))
         # Cuts that end LOOKAHEAD or more before the edit stay; go on from there.
@@ -133,6 +138,11 @@ class CountedText:
         if met is not None:
             # Some pre-tokens may be empty of characters only at the very end: count by position.
             kept = sum(1 for e in ends if e + shift > met)
+        return first, last, head, old, kept, words
+
+    def commit(self, change: tuple) -> None:
+        """Put an edit's pre-tokens in place and update the sums above them."""
+        first, last, head, old, kept, words = change
         self.recut += sum(map(len, words))
         counts = [c for leaf in self.leaf_counts[first : last + 1] for c in leaf]
         left = self.leaf_counts[first][:head] + (self.bpe.counts(words).tolist() if words else [])
@@ -150,7 +160,6 @@ class CountedText:
                 if self.leaves[leaf]:
                     self._set(leaf, [], [])
             self._set(last, tail, right)
-        return self.count
 
 
 EDIT = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("text", T.StringType())])
@@ -174,14 +183,17 @@ def count_edits(docs: DataFrame, path: str, text_col: str = "text", edits_col: s
         bpe = tokenizer(path)
         for batch in batches:
             for part, texts in chunks(batch, len(rest)):
-                rows = []
-                for text, edits in zip(texts, part.column(len(rest) + 1).to_pylist(), strict=True):
-                    doc = CountedText(bpe, text)
-                    before = doc.count
-                    for e in edits or []:
-                        if e is not None:
-                            doc.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                    rows.append((before, doc.count, len(doc), doc.recut))
+                edits = [[e for e in x or [] if e is not None] for x in part.column(len(rest) + 1).to_pylist()]
+                bpe.learn(bpe.pattern.findall(t) for t in texts)
+                counted = [CountedText(bpe, t) for t in texts]
+                before = [d.count for d in counted]
+                # The k-th edits of all these documents: their new pre-tokens are encoded together.
+                for k in range(max(map(len, edits), default=0)):
+                    turn = [(d, d.cut(e[k]["start"] or 0, e[k]["stop"] or 0, e[k]["text"] or "")) for d, e in zip(counted, edits, strict=True) if k < len(e)]
+                    bpe.learn(change[-1] for _, change in turn)
+                    for d, change in turn:
+                        d.commit(change)
+                rows = [(b, d.count, len(d), d.recut) for b, d in zip(before, counted, strict=True)]
                 columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(keys))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *columns], schema.names)
 
