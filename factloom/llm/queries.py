@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, editcount, embeddings, langid, merkle, minhash, mixing, packing, quality
+from . import bm25, bpe, editcount, embeddings, langid, merkle, minhash, mixing, packing, quality
 from .shared import prepare
 
 
@@ -42,6 +42,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(_table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.op6(_table(spark, sf_dir, "documents"))
+
+
 def op7_packed_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op7(_table(spark, sf_dir, "documents"), bpe_path())
 
@@ -58,8 +62,22 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return embeddings.op10(_table(spark, sf_dir, "embeddings"))
 
 
+OPERATORS = (
+    op1_minhash_near_duplicates,
+    op2_edit_aware_token_counts,
+    op3_language_id,
+    op4_bpe_round_trip,
+    op5_source_mixing,
+    op6_bm25_top_k,
+    op7_packed_token_matrices,
+    op8_quality_classifier,
+    op9_warc_fixity_audit,
+    op10_embedding_near_duplicates,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_duplicates, op2_edit_aware_token_counts, op3_language_id, op4_bpe_round_trip, op5_source_mixing, op7_packed_token_matrices, op8_quality_classifier, op9_warc_fixity_audit, op10_embedding_near_duplicates)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
