@@ -85,7 +85,7 @@ def mix(
         out = docs.join(F.broadcast(per), same, "left")
     else:
         spread = F.pmod(F.xxhash64(col(id_col)), F.lit(SALTS))
-        per = per.withColumn(k_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        per = per.withColumn(k_salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         out = docs.withColumn(salt, spread).join(per, same & (F.col(salt) == F.col(k_salt)), "left").drop(salt, k_salt)
     rate = F.when(F.col(source_size) > 0, F.least(F.col(target) / F.col(source_size), F.lit(float(most)))).otherwise(0.0)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(id_col).cast("string")), 11) * F.lit(2.0**-53)
