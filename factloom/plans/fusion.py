@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,21 +36,38 @@ class FusionResult:
     catalog: DataFrame
 
 
-def run(sources: DataFrame, categories: Iterable[Category] | None = None, extractor: Extractor | None = None, reviewer: Reviewer | None = None, mode: str = "mock") -> FusionResult:
+Keep = Callable[[str, DataFrame], DataFrame]
+
+
+def tables_in(folder: str) -> Keep:
+    """Keeps a stage as a Parquet table, so that later stages read it instead of planning it anew."""
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep
+
+
+def run(sources: DataFrame, categories: Iterable[Category] | None = None, extractor: Extractor | None = None, reviewer: Reviewer | None = None, mode: str = "mock", keep: Keep | None = None) -> FusionResult:
     """Every stage lazily; what is asked for decides what runs.
 
     Two shuffles carry the data: by product and field for fusion, by product for
-    the rest.  Registry tables are of fixed size and broadcast.
+    the rest.  Registry tables are of fixed size and broadcast.  Several later
+    stages read the observations, the fused and the routed fields: for large inputs
+    give `keep=tables_in(shared folder)`, which writes each of the three once.
     """
+    keep = keep or (lambda name, df: df)
     spark = sources.sparkSession
     categories = list(categories) if categories is not None else None
     fields = field_table(spark, categories)
     lines = blocks(sources)
     observed = (extractor or RuleExtractor(rule_table(spark, categories))).extract(lines)
+    observed = keep("observations", observed)
     normalized = normalize(observed, fields)
-    fused = fuse(normalized)
+    fused = keep("fused", fuse(normalized))
     checks = check_rules(fused, categories)
-    routed = route(fused, checks)
+    routed = keep("routed", route(fused, checks))
     queue = review_queue(routed)
     reviews = (reviewer or TemplateReviewer()).review(queue, sources)
     products = sources.select("product_id").distinct()

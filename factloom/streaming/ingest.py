@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.record import record_json
-from ..plans.fusion import run
+from ..plans.fusion import Keep, run, tables_in
 from ..sources.manifests import from_payloads
 
 PAYLOAD = "product_id string, category string, sources array<struct<id:string,type:string,title:string,text:string,authority:double>>"
 
 
-def ingest(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(payloads: DataFrame, keep: Keep | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records as JSON, catalog rows, rejected payloads with their reason) of a batch.
 
     Of payloads for one product in a batch the one that sorts last as JSON stays.
@@ -29,7 +29,7 @@ def ingest(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     last = Window.partitionBy("product_id").orderBy(F.to_json(F.struct("category", "sources")).desc())
     one = payloads.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
     sources, rejected = from_payloads(one)
-    result = run(sources)
+    result = run(sources, keep=keep)
     return record_json(result.records), result.catalog, rejected
 
 
@@ -42,7 +42,7 @@ def start(spark: SparkSession, folder: str, out: str, checkpoint: str, then: Cal
 
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        records, catalog, rejected = ingest(batch)
+        records, catalog, rejected = ingest(batch, tables_in(f"{out}/stages/batch={number}"))
         for name, table in (("records", records), ("catalog", catalog), ("rejected", rejected)):
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         batch.unpersist()

@@ -11,7 +11,7 @@ from factloom.operators.normalize import normalize
 from factloom.operators.record import record_json
 from factloom.operators.review import ModelReviewer
 from factloom.operators.sanitize import answer_schema, render_prompt, sanitize
-from factloom.plans.fusion import run
+from factloom.plans.fusion import run, tables_in
 from factloom.registry.categories import Category
 from factloom.registry.tables import field_table, rule_table
 from factloom.sources.documents import page_text, split_lines
@@ -150,6 +150,11 @@ def test_small_weight_fails_the_motor_rule_too(spark):
     assert (totals["products"], totals["verified"], totals["needs_review"], totals["conflicts"], totals["rules_run"]) == (12, 164, 16, 0, 156)
 
 
+def test_kept_stages_give_the_same_catalog(spark, tmp_path):
+    a, b = (sorted(map(str, run(synthetic(spark, 14), keep=k).catalog.collect())) for k in (None, tables_in(str(tmp_path))))
+    assert a == b
+
+
 def test_synthetic_ids_are_unique(spark):
     ids = [r["product_id"] for r in synthetic(spark, 14).select("product_id").distinct().collect()]
     assert len(ids) == 14 and "6200-2RS-2" in ids
