@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import CHUNK_BYTES, tokenizer
+from .bpe import PATTERN
 from .shared import col
 
 CONTEXT = 2048
@@ -23,6 +23,22 @@ PAD = 50256
 SHARD_CHARS = 4_000_000
 
 
+_ENCODERS: dict[str, object] = {}
+
+
+def ranked_encoder(path: str):
+    """The worker's encoder for a file of ranked tokens; added tokens are ordinary text to it."""
+    if path not in _ENCODERS:
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _ENCODERS[path] = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[path]
+
+
 class Capacities:
     """How many open rows have each free capacity, summed in a segment tree.
 
@@ -94,7 +110,7 @@ PACKED = T.StructType(
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, pad: int = PAD, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """Packed rows of all texts.
+    """Packed rows of all texts; path is a file of ranked tokens.
 
     doc_ids and starts say of which document, and from which of its tokens on, each
     segment is; cu_seqlens has 0 and the end of each segment.  ids and positions
@@ -108,18 +124,12 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     dealt = rows.where("text <> ''").withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        bpe, shard = tokenizer(path), key[0].as_py()
+        encoder, shard = ranked_encoder(path), key[0].as_py()
         found = sorted(zip(table["id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         pieces: list[tuple[int | None, int, np.ndarray]] = []
-        at = 0
-        while at < len(found):
-            held, end = 0, at
-            while end < len(found) and held < CHUNK_BYTES:
-                held += len(found[end][1])
-                end += 1
-            for (doc, _), ids in zip(found[at:end], bpe.encode([t for _, t in found[at:end]]), strict=True):
-                pieces += [(doc, s, ids[s : s + context]) for s in range(0, ids.size, context)]
-            at = end
+        for doc, text in found:
+            ids = np.array(encoder.encode_ordinary(text), np.uint32)
+            pieces += [(doc, s, ids[s : s + context]) for s in range(0, ids.size, context)]
         out = {k: [] for k in PACKED.names}
         for r, members in enumerate(best_fit_decreasing(np.array([p[2].size for p in pieces], np.int64), context)):
             parts = [pieces[i] for i in members]
