@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bm25, bpe, editcount, embeddings, langid, merkle, minhash, mixing, packing, quality
+from .oracles import SQL
 from .shared import prepare
 
 
@@ -26,6 +27,13 @@ def bpe_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def ranks_path() -> str:
+    """The same vocabulary as ranks of byte strings."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op1(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packed_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.op7(_table(spark, sf_dir, "documents"), bpe_path())
+    return packing.op7(_table(spark, sf_dir, "documents"), ranks_path())
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_fixity_audit": merkle.OP9_SQL}
+    return dict(SQL)
