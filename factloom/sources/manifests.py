@@ -46,6 +46,22 @@ def read_catalog(path: str, root: str = ".") -> list[dict]:
     return out
 
 
+def catalog_info(path: str) -> tuple[str, str]:
+    """(catalog id, name) of a catalog document; the id defaults to the file's stem, the name to the id."""
+    catalog = json.loads(Path(path).read_text(encoding="utf-8"))
+    catalog_id = catalog.get("catalog_id") or Path(path).stem
+    return catalog_id, catalog.get("name") or catalog_id
+
+
+def categories_of(entries: Iterable[dict]) -> list[Category]:
+    """The categories that catalog entries name by schema document; the built-in ones where they name none."""
+    found = {c.name: c for c in registry.builtin()}
+    for path in sorted({e["schema"] for e in entries if e.get("schema") and os.path.exists(e["schema"])}):
+        own = Category.from_json(Path(path).read_text(encoding="utf-8"))
+        found[own.name] = own
+    return list(found.values())
+
+
 def sources_of(spark: SparkSession, manifests: Iterable[dict], root: str = ".") -> DataFrame:
     """`sources` of product manifests; documents are read by Spark as whole texts.
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import COUNTERS, catalog_totals
@@ -33,6 +34,19 @@ def catalog_index(rows: DataFrame, catalog_id: str, name: str, mode: str = "mock
     return doc.select(F.to_json(F.struct(F.lit(catalog_id).alias("catalog_id"), F.lit(name).alias("name"), pipeline.alias("pipeline"), "totals", "products"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write_sources(sources: DataFrame, folder: str) -> None:
+    """What came in, as it came in: appended, a folder per category."""
+    sources.write.mode("append").partitionBy("category").parquet(folder)
+
+
+def read_table(spark: SparkSession, folder: str) -> DataFrame | None:
+    """A catalog table if it is there and can be read; None otherwise, so that a first ingest starts anew."""
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException:
+        return None
+
+
 def summary(rows: DataFrame, name: str = "catalog") -> str:
     """A catalog's totals as one line of text."""
     t = catalog_totals(rows).first()

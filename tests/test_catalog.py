@@ -1,9 +1,15 @@
 import json
 
+import pytest
+
 from factloom.operators.catalog import upsert
+from factloom.operators.extract import ModelExtractor, RuleExtractor
+from factloom.operators.providers import Provider, extractor_for, pick, reviewer_for
+from factloom.operators.review import TemplateReviewer
 from factloom.plans.fusion import run
-from factloom.sources.manifests import synthetic
-from factloom.sources.sinks import catalog_index, summary, write_catalog_csv, write_records
+from factloom.registry.tables import field_table
+from factloom.sources.manifests import catalog_info, categories_of, read_catalog, synthetic
+from factloom.sources.sinks import catalog_index, read_table, summary, write_catalog_csv, write_records, write_sources
 from factloom.streaming.ingest import latest, start
 
 
@@ -37,3 +43,30 @@ def test_stream_replaces_products(spark, tmp_path):
         start(spark, str(drop), str(out), str(tmp_path / "check")).awaitTermination()
     rows = latest(spark.read.parquet(str(out / "records"))).collect()
     assert len(rows) == 1 and json.loads(rows[0]["json"])["fields"][0]["value"] == 70
+
+
+def test_providers(spark):
+    one = Provider("one", "ONE_KEY", lambda prompt: "{}")
+    assert pick("auto", [one], {}) == "mock" and pick("auto", [one], {"ONE_KEY": "k"}) == "one" and pick("mock", [one], {"ONE_KEY": "k"}) == "mock"
+    fields = field_table(spark)
+    assert isinstance(extractor_for("mock", fields, str), RuleExtractor) and isinstance(extractor_for("one", fields, str, [one]), ModelExtractor)
+    assert isinstance(reviewer_for("mock"), TemplateReviewer)
+    with pytest.raises(ValueError):
+        reviewer_for("two", [one])
+
+
+def test_catalog_documents(spark, tmp_path):
+    schema = {"category": "lamp", "category_label": "Lamp", "fields": [{"name": "power", "type": "number", "unit": "W"}]}
+    (tmp_path / "s.json").write_text(json.dumps(schema))
+    (tmp_path / "m.json").write_text(json.dumps({"product_id": "l", "category": "lamp", "sources": []}))
+    (tmp_path / "cat.json").write_text(json.dumps({"products": [{"manifest": "m.json", "schema": "s.json"}]}))
+    entries = read_catalog(str(tmp_path / "cat.json"), str(tmp_path))
+    assert catalog_info(str(tmp_path / "cat.json")) == ("cat", "cat")
+    assert "lamp" in {c.name for c in categories_of(entries)} and len(categories_of([])) == 4
+
+
+def test_source_tables(spark, tmp_path):
+    assert read_table(spark, str(tmp_path / "none")) is None
+    write_sources(synthetic(spark, 2), str(tmp_path / "bronze"))
+    write_sources(synthetic(spark, 1), str(tmp_path / "bronze"))
+    assert read_table(spark, str(tmp_path / "bronze")).count() == 9
