@@ -98,6 +98,8 @@ def _descend(one: DataFrame, two: DataFrame, scratch: Scratch) -> DataFrame:
         differs = ~(F.col("hash").eqNullSafe(F.col("hash_b")) & F.col("first").eqNullSafe(F.col("first_b")) & F.col("last").eqNullSafe(F.col("last_b")))
         state = F.when(F.col("hash").isNull(), "extra").when(F.col("hash_b").isNull(), "missing").otherwise("corrupt")
         suspect = both.where(differs).select("file", "node", F.coalesce("first", "first_b").alias("first"), F.coalesce("last", "last_b").alias("last"), state.alias("state"))
+        # Both sides of the next level read it: written once, it is small where little differs.
+        suspect = scratch.keep(suspect, f"suspect{level}")
     return suspect.select("file", F.col("node").alias("seq"), "first", "last", "state")
 
 
@@ -130,7 +132,7 @@ def op9(pages: DataFrame) -> DataFrame:
     zero = F.coalesce(F.col("key") % ZEROED[0] == ZEROED[1], F.lit(False))
     bad = F.when(zero, F.repeat(F.lit("0"), F.octet_length("data"))).when(flip & F.col("data").contains("e"), F.concat(F.substring_index("data", "e", 1), F.lit("3"), F.expr("substring(data, length(substring_index(data, 'e', 1)) + 2)"))).otherwise(F.col("data"))
     one, two = leaves(rows, scratch), leaves(rows.withColumn("data", bad), scratch)
-    found = scratch.keep(_descend(one, two, scratch), "found")
+    found = _descend(one, two, scratch)
     out = one.join(found.select("file", "seq", "state"), ["file", "seq"], "left")
     return out.select(F.col("key").alias("page_id"), "file", "seq", F.col("first").alias("first_byte"), F.col("last").alias("last_byte"), F.col("hash").alias("sha256"), F.coalesce("state", F.lit("intact")).alias("state"))
 
