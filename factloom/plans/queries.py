@@ -128,9 +128,8 @@ _FACTOR_VALUES = ", ".join(f"('{a}', '{b}', {f!r}::DOUBLE)" for (a, b), f in sor
 @query(f"""WITH f(a, b, factor) AS (VALUES {_FACTOR_VALUES}) SELECT p_partkey, a AS from_unit, b AS to_unit, round(p_size::DOUBLE * factor, 6) AS converted FROM part CROSS JOIN f WHERE p_partkey % 10 = length(a) % 10""")
 def unit_matrix(spark, sf_dir):
     """Sizes in each known pair of units."""
-    pairs = spark.createDataFrame(sorted(unit_registry.factors()), "from_unit string, to_unit string")
-    parts = _t(spark, sf_dir, "part").withColumn("d", F.col("p_partkey") % 10)
-    rows = parts.join(F.broadcast(pairs.withColumn("d", F.length("from_unit") % 10)), "d")  # a fixed table
+    pairs = F.array(*[F.struct(F.lit(a).alias("from_unit"), F.lit(b).alias("to_unit")) for a, b in sorted(unit_registry.factors())])
+    rows = _t(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(pairs).alias("pair")).select("p_partkey", "p_size", "pair.*")  # a fixed table
     return rows.select("p_partkey", "from_unit", "to_unit", to_unit(F.col("p_size").cast("double"), F.col("from_unit"), F.col("to_unit")).alias("converted"))
 
 
