@@ -3,7 +3,8 @@
 Texts become runs of letters with single blanks between; character 1- to 3-grams
 are hashed into BUCKETS features.  The model is trained with follow-the-regularised-
 leader (per-coordinate rates, an L1 penalty that zeroes weights and an L2 penalty)
-on a bounded sample of labelled rows, and a temperature fitted on a part of the
+on a bounded sample of labelled rows, with document frequencies counted over all
+texts of the learning folds, and a temperature fitted on a part of the
 sample that training leaves out makes its top probability a confidence.
 """
 
@@ -109,15 +110,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
-    """rows: feature indices, their tf, and the language, in a fixed order."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], corpus: tuple[int, np.ndarray] | None = None) -> Model:
+    """rows: feature indices, their tf, and the language, in a fixed order.
+
+    corpus: number of documents and each feature's document frequency; those of rows if None.
+    """
     languages = sorted({r[2] for r in rows})
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    df = np.zeros(BUCKETS)
-    for at, _, _ in rows:
-        df[at] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if corpus is None:
+        corpus = len(rows), np.bincount(np.concatenate([at for at, _, _ in rows]), minlength=BUCKETS)
+    size, df = corpus
+    idf = np.log((1 + size) / (1 + df)) + 1
     data = []
     for at, tf, lang in rows:
         x = tf * idf[at]
@@ -170,9 +174,34 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(SAMPLE.names, x, strict=True)) for x in out], schema=pa.schema([("h", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("count", pa.binary())]))
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+FREQUENCIES = T.StructType([T.StructField("feature", T.IntegerType()), T.StructField("n", T.LongType())])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's document frequencies; feature BUCKETS stands for its documents with letters."""
+    df = np.zeros(BUCKETS + 1, np.int64)
+    for batch in batches:
+        for text in text_bytes(batch.column(0)):
+            counts = ngram_counts(text.decode())
+            if counts is not None:
+                df[:BUCKETS] += counts > 0
+                df[BUCKETS] += 1
+    at = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], FREQUENCIES.names)
+
+
+def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of texts(text) with letters, and how many of them have each feature."""
+    df = np.zeros(BUCKETS + 1, np.int64)
+    # A row per feature, whatever the number of texts.
+    for feature, n in texts.where("text is not null").select("text").mapInArrow(_frequencies, FREQUENCIES).groupBy("feature").agg(F.sum("n")).collect():
+        df[feature] = n
+    return int(df[BUCKETS]), df[:BUCKETS]
+
+
+def _train(batches: Iterator[pa.RecordBatch], corpus: tuple[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r)
-    model = train([(np.frombuffer(at, np.uint16).astype(np.int64), _tf(np.frombuffer(count, np.int32)), lang) for _, lang, at, count in rows])
+    model = train([(np.frombuffer(at, np.uint16).astype(np.int64), _tf(np.frombuffer(count, np.int32)), lang) for _, lang, at, count in rows], corpus)
     names = ["", " idf", *model.languages]
     values = [np.array([model.temperature, *model.bias]), model.idf, *model.weights.T]
     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([np.asarray(v, np.float64).tobytes() for v in values], pa.binary())], MODEL.names)
@@ -183,10 +212,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     The sample holds each language's rows whose id hashes below a share that gives
     it sample_rows over the number of languages; at most MOST_LANGUAGES of them,
-    the most frequent.  Rows with a null id are never learned from.
+    the most frequent.  Document frequencies are those of all texts of the learning
+    folds, with a language or without.  Rows with a null id are never learned from.
     """
     learn = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"))
-    learn = learn.where(fold(F.col("id"), FOLDS) != HELD_OUT).where("lang is not null")
+    everything = learn.where(fold(F.col("id"), FOLDS) != HELD_OUT)
+    learn = everything.where("lang is not null")
     learn = learn.withColumn("h", F.xxhash64(F.col("id").cast("string")))
     counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
@@ -198,7 +229,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         share = this if share is None else share | this
     sample = learn.where(share & F.col("text").isNotNull()).select("h", "lang", "text").mapInArrow(_featurize, SAMPLE)
     kept = Scratch(docs.sparkSession, "langid").keep(sample, "sample")
-    got = {r["language"]: np.frombuffer(r["values"], np.float64) for r in kept.repartition(1).mapInArrow(_train, MODEL).collect()}
+    corpus = document_frequencies(everything)
+    got = {r["language"]: np.frombuffer(r["values"], np.float64) for r in kept.repartition(1).mapInArrow(lambda batches: _train(batches, corpus), MODEL).collect()}
     if not got:
         return train([])
     head, idf = got.pop(""), got.pop(" idf")
