@@ -110,10 +110,12 @@ def train(rows: list[tuple[bytes, int]], log_odds: float | None = None) -> Net:
     """Adam over rows of (text, label) in a fixed order.
 
     log_odds of label 1 among all labelled rows corrects for the sample's balance.
+    Without rows nothing is known, and every document scores 0.5.
     """
     net = Net.new()
     ones = sum(y for _, y in rows)
     if not rows:
+        net.w2[:] = 0
         return net
     shift = float(np.log((ones + 1) / (len(rows) - ones + 1)))
     if 0 < ones < len(rows):
@@ -150,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Each label gets the rows whose id hashes below a share that gives it half of
     sample_rows; the join is with these few rows only.  Null ids are never learned
-    from, and neither is a null text.
+    from, and neither is a null text.  Where that leaves nothing to learn from, every
+    document scores 0.5, and keep_good drops none.
     """
     spark = docs.sparkSession
     marks = labels.select(col(label_id).alias("id"), col(label_col).cast("int").alias("y")).where("y in (0, 1)")
@@ -176,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([np.asarray(getattr(net, k), np.float64 if k == "prior" else np.float32).tobytes() for k in parts], pa.binary())], MODEL.names)
 
     got = {r["part"]: r["values"] for r in sample.repartition(1).mapInArrow(run, MODEL).collect()}
-    net = Net.new()
+    net = train([])
     if got:
         for k in Net.NAMES:
             setattr(net, k, np.frombuffer(got[k], np.float32).reshape(getattr(net, k).shape))
