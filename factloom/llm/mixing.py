@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 A source's rate is its target over its size.  Each document is taken floor(rate)
-times, and once more if a hash of its id, read as a number in [0, 1), is below
-the rate's fraction: no state, so reruns and lost executors give the same mix.
+times, and once more if a hash of its id, text and source, read as a number in [0, 1),
+is below the rate's fraction: no state, so reruns and lost executors give the same mix.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ def mix(
     Returns the DataFrame and the names of the four added columns, which avoid
     names that docs has.  Nulls: a null source is a source of its own, ordered
     last; a null or empty text has size 0 and is copied as its source's rate says;
-    a null id hashes to a fixed number.  Rows that repeat an id get the same draw.
+    rows without an id, or that repeat one, are drawn apart by their texts.  Only rows
+    equal in id, text and source get the same draw.
     A source of size 0 has target 0 and rate 0; an empty table stays empty.
     """
     spark = docs.sparkSession
@@ -88,7 +89,9 @@ def mix(
         per = per.withColumn(k_salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         out = docs.withColumn(salt, spread).join(per, same & (F.col(salt) == F.col(k_salt)), "left").drop(salt, k_salt)
     rate = F.when(F.col(source_size) > 0, F.least(F.col(target) / F.col(source_size), F.lit(float(most)))).otherwise(0.0)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(id_col).cast("string")), 11) * F.lit(2.0**-53)
+    # A hash passes over nulls, so each value comes with whether it is there.
+    parts = [x for c in (id_col, text_col, source_col) for x in (col(c).isNull(), col(c).cast("string"))]
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) * F.lit(2.0**-53)
     whole = F.floor(rate)
     out = out.withColumn(copies, (whole + (draw < rate - whole).cast("long")).cast("long")).drop(k_source)
     return out, {"size": size, "source_size": source_size, "target": target, "copies": copies}
