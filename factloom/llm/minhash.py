@@ -340,14 +340,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: the one of smallest id.
 
-    Of repeated rows of that id one stays.  Rows with a null id can't be named, so
-    they stay as they are.  Columns are those of docs.
+    Of rows that repeat an id and its text one stays.  Where one id has several
+    texts, or rows have a null id, each text of an id counts as a document of its
+    own, those without an id last: no text goes but for a near copy that stays.
+    Columns are those of docs.
     """
-    found = near_duplicates(docs, id_col, text_col).where("kept").select("doc_id").distinct()
-    key, stays = fresh(docs, "dedup_id", "dedup_stays")
-    kept = docs.withColumn(key, col(id_col).cast("long")).where(F.col(key).isNotNull())
-    kept = kept.join(found.select(F.col("doc_id").alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)
-    return kept.select(*map(col, docs.columns)).unionByName(docs.where(col(id_col).isNull()))
+    key, digest = fresh(docs, "dedup_id", "dedup_digest")
+    marked = docs.withColumn(key, col(id_col).cast("long")).withColumn(digest, F.coalesce(F.sha2(col(text_col).cast("string").cast("binary"), 256), F.lit("")))
+    clash = F.col(key).isNull() | (F.col("low") != F.col("high"))
+    if not marked.groupBy(key).agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where(clash).isEmpty():
+        marked = _renumbered(marked, key, digest, Scratch(docs.sparkSession, "dedup"))
+    found = near_duplicates(marked, key, text_col).where("kept").select("doc_id").distinct()
+    kept = marked.join(found.select(F.col("doc_id").alias(key)), key, "left_semi").dropDuplicates([key])
+    return kept.select(*map(col, docs.columns))
+
+
+def _renumbered(marked: DataFrame, key: str, digest: str, scratch: Scratch) -> DataFrame:
+    """marked with a number of its own in `key` for each id and digest, in the order of ids, null last."""
+    (number,) = fresh(marked, "dedup_number")
+    pairs = scratch.keep(marked.select(key, digest).distinct(), "pairs")
+    # Numbers rise over the sorted partitions; written once, they stay the same.
+    pairs = scratch.keep(pairs.sort(F.col(key).asc_nulls_last(), digest).withColumn(number, F.monotonically_increasing_id()), "numbers")
+    left, right = marked.alias("left"), pairs.select(F.col(key).alias("k"), F.col(digest).alias("d"), F.col(number).alias("n")).alias("right")
+    same = (F.col(f"left.{digest}") == F.col("right.d")) & F.col(f"left.{key}").eqNullSafe(F.col("right.k"))
+    rows = left.join(right, same).select(*[F.col("left." + "`" + c.replace("`", "``") + "`") for c in marked.columns if c != key], F.col("right.n").alias(key))
+    return scratch.keep(rows, "rows")
 
 
 def op1(docs: DataFrame) -> DataFrame:
