@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java regex of a word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
     Where it is unset, a local session gets a temporary folder that goes at exit;
-    any other session uses a folder under the warehouse.
+    any other session must set it, as no other folder is known to be shared.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -40,13 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     known = getattr(sc, "_factloom_shared", None)
     if known is None:
-        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            known = tempfile.mkdtemp(prefix="factloom-")
-            atexit.register(shutil.rmtree, known, ignore_errors=True)
-            known = f"file://{known}"
-        else:
-            known = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/factloom-scratch"
-        sc._factloom_shared = known
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, known, ignore_errors=True)
+        known = sc._factloom_shared = f"file://{known}"
     return known
 
 
@@ -55,12 +54,13 @@ class Scratch:
 
     A written table survives the loss of any executor, and reading it back gives
     both sides of a later join an exchange, which adaptive execution can split
-    where a key is hot.
+    where a key is hot.  They stay until release(), as results read them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        spark.sparkContext.__dict__.setdefault("_factloom_scratch", []).append(self.base)
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         self.count += 1
@@ -68,6 +68,22 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def add(self, df: DataFrame, label: str) -> None:
+        """Rows of one of many blocks, gathered in one table."""
+        df.write.mode("append").parquet(f"{self.base}/{label}")
+
+    def added(self, schema: T.StructType, label: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{label}")
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the session's scratch tables, once all results made from them are written; how many there were."""
+    made, sc = spark.sparkContext.__dict__.pop("_factloom_scratch", []), spark.sparkContext
+    for base in made:
+        path = sc._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
+
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names like `bases` that df doesn't have (names compare without case)."""

@@ -174,8 +174,7 @@ def bm25_brute(docs, queries, k=10):
 
 
 def test_search_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(bm25, "SHARD_CHARS", 8_000)
-    monkeypatch.setattr(bm25, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(bm25, "QUERY_BYTES", 2_000)
     rng = random.Random(31)
     words = [f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(6000)]
     docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 80)))) for i in range(400)]
@@ -195,6 +194,48 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert bm25.op6(df.limit(0)).count() == 0
 
 
+def test_pivots_lose_nothing(monkeypatch):
+    """Many small segments, shards and batches in one process, every score against brute force."""
+    for name, value in (("BLOCK_DOCS", 4), ("SEGMENT_DOCS", 16), ("BATCH", 5), ("COMMON", 4)):
+        monkeypatch.setattr(bm25, name, value)
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(4000)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(300 + i, "W1 w2 w3") for i in range(40)]
+    queries = [(i, t) for i, t in docs[::9] if t] + [(9000, "w1 w2 nowhere"), (9001, "nowhere")]
+    shards, builder = [], bm25._Builder(10)
+    for at, (i, t) in enumerate(docs):
+        builder.add(None if i == 305 else i, t.encode())
+        if at % 90 == 89 or at == len(docs) - 1:
+            shards.append(bm25._unpacked(builder.batch(), 0, tuple(bm25.ARRAYS)))
+            builder = bm25._Builder(10)
+    terms = [bm25.term_counts(t.encode())[0] for _, t in queries]
+    block = bm25.Block(np.arange(len(queries)), np.repeat(np.arange(len(queries)), [t.size for t in terms]), np.concatenate(terms))
+    df = np.array([sum(int(x["df"][x["terms"] == t].sum()) for x in shards) for t in block.terms])
+    block.idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+    best = bm25.Best(len(queries), 10)
+    skipped, seen = [], bm25.Segment.candidates
+    monkeypatch.setattr(bm25.Segment, "candidates", lambda *a: skipped.append(seen(*a)[0].size == 0) or seen(*a))
+    mean = sum(len(t.split()) for _, t in docs) / len(docs)
+    for x in shards:
+        bm25._scan(x, block, mean, best)
+    want = bm25_brute(docs, queries)
+    for q, (name, _) in enumerate(queries):
+        got = [(-s, i) for s, i, there in zip(best.score[q], best.doc[q], best.named[q], strict=True) if there]
+        hits = [(s, i) for s, i in want[name] if i != 305]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in hits], abs=1e-8) and len(got) in (len(hits), len(hits) + 1 if len(hits) < 10 else 10)
+        assert len({s for s, _ in hits}) < len(hits) or [i for _, i in got] == [i for _, i in hits]
+    assert any(skipped)
+
+
+def test_search_with_nulls_and_repeats(spark):
+    docs = spark.createDataFrame([(-1, "a b c", ""), (None, "a b c", ""), (5, "a b", ""), (5, "a b", ""), (6, None, ""), (7, "", "")], DOCS)
+    queries = spark.createDataFrame([(1, "A"), (1, "b"), (None, "a"), (2, None), (3, "zzz")], "query_id long, text string")
+    got = [tuple(r)[:3] for r in bm25.search(docs, queries).orderBy("query_id", "place").collect()]
+    assert got == [(1, 1, 5), (1, 2, 5), (1, 3, -1), (1, 4, None)]
+    many = spark.createDataFrame([(i, "same words here", "") for i in range(3000)], DOCS).repartition(3)
+    assert [r["doc_id"] for r in bm25.search(many, queries.where("false").union(spark.createDataFrame([(1, "words")], queries.schema))).orderBy("place").collect()] == list(range(10))
+
+
 PAGES = "page_id long, url string, html string, file string"
 
 
