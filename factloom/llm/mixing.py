@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 A source's rate is its target over its size.  Each document is taken floor(rate)
-times, and once more if a hash of its id, text and source, read as a number in [0, 1),
-is below the rate's fraction: no state, so reruns and lost executors give the same mix.
+times, and once more if a hash of its id, read as a number in [0, 1), is below the
+rate's fraction: no state, so reruns and lost executors give the same mix.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, Scratch, col, fresh
+from .shared import WORD, Scratch, col, fresh, ids_clash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3.0
@@ -56,6 +56,18 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return per.select("source", "source_size", target.alias("target"))
 
 
+def _draw(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> Column:
+    """A number in [0, 1) for each row, evenly spread whatever the ids are."""
+    parts = [col(id_col).cast("string")]
+    if ids_clash(docs, id_col):
+        # A hash passes over nulls, so each value comes with whether it is there.
+        parts = [x for c in (id_col, text_col, source_col) for x in (col(c).isNull(), col(c).cast("string"))]
+        seen = docs.select(F.xxhash64(*parts).alias("h")).groupBy("h").count()
+        if not seen.where("count > 1").isEmpty():
+            parts.append(F.monotonically_increasing_id())
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) * F.lit(2.0**-53)
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -69,9 +81,11 @@ def mix(
 
     Returns the DataFrame and the names of the four added columns, which avoid
     names that docs has.  Nulls: a null source is a source of its own, ordered
-    last; a null or empty text has size 0 and is copied as its source's rate says;
-    rows without an id, or that repeat one, are drawn apart by their texts.  Only rows
-    equal in id, text and source get the same draw.
+    last; a null or empty text has size 0 and is copied as its source's rate says.
+    Where an id is null or repeats, rows are drawn by id, text and source; where rows
+    are equal in all three, by their place in the table as read too, so that even those
+    are drawn apart and reruns over the same files agree.  Very long texts are counted,
+    and copied, whole.
     A source of size 0 has target 0 and rate 0; an empty table stays empty.
     """
     spark = docs.sparkSession
@@ -80,20 +94,19 @@ def mix(
     per = Scratch(spark, "mix").keep(source_targets(sized, weights, most).coalesce(1), "sources")
     key, salt, k_source, k_salt = fresh(docs, "k", "s", "mix_source", "mix_salt")
     per = per.select(F.col("source").alias(k_source), F.col("source_size").alias(source_size), F.col("target").alias(target))
-    docs = docs.withColumn(size, word_count(col(text_col)))
+    draw = _draw(docs, id_col, text_col, source_col, seed)
+    chance = fresh(docs, size, source_size, target, copies, "chance")[-1]
+    docs = docs.withColumn(size, word_count(col(text_col))).withColumn(chance, draw)
     same = col(source_col).cast("string").eqNullSafe(F.col(k_source))
     if per.count() <= BROADCAST_SOURCES:
         out = docs.join(F.broadcast(per), same, "left")
     else:
-        spread = F.pmod(F.xxhash64(col(id_col)), F.lit(SALTS))
+        spread = F.floor(F.col(chance) * SALTS).cast("long")
         per = per.withColumn(k_salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         out = docs.withColumn(salt, spread).join(per, same & (F.col(salt) == F.col(k_salt)), "left").drop(salt, k_salt)
     rate = F.when(F.col(source_size) > 0, F.least(F.col(target) / F.col(source_size), F.lit(float(most)))).otherwise(0.0)
-    # A hash passes over nulls, so each value comes with whether it is there.
-    parts = [x for c in (id_col, text_col, source_col) for x in (col(c).isNull(), col(c).cast("string"))]
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) * F.lit(2.0**-53)
     whole = F.floor(rate)
-    out = out.withColumn(copies, (whole + (draw < rate - whole).cast("long")).cast("long")).drop(k_source)
+    out = out.withColumn(copies, (whole + (F.col(chance) < rate - whole).cast("long")).cast("long")).drop(k_source, chance)
     return out, {"size": size, "source_size": source_size, "target": target, "copies": copies}
 
 

@@ -103,6 +103,12 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def ids_clash(rows: DataFrame, id_col: str) -> bool:
+    """Whether some id is null or repeats; only ids and their counts are shuffled."""
+    seen = rows.select(col(id_col).cast("string").alias("id")).groupBy("id").count()
+    return not seen.where("id is null or count > 1").isEmpty()
+
+
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's text, modulo `modulus` (null for a null id)."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)
