@@ -24,7 +24,8 @@ from .shared import Scratch, col, fold, fresh, text_bytes
 FOLDS, HELD_OUT = 5, 0
 BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
-#: Bound of the training sample in rows, dealt evenly over languages, and of those.
+#: Bound of the training sample in rows, dealt evenly over languages; features of a row
+#: are bounded by BUCKETS.  And bound of the languages, whose weights are trained together.
 SAMPLE_ROWS = 3200
 MOST_LANGUAGES = 256
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 0.1, 2e-3, 1e-3
@@ -160,7 +161,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], corpus: tuple[int, np.
 
 
 SAMPLE = T.StructType([T.StructField("h", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("count", T.BinaryType())])
-MODEL = T.StructType([T.StructField("language", T.StringType()), T.StructField("values", T.BinaryType())])
+MODEL = T.StructType([T.StructField("kind", T.StringType()), T.StructField("language", T.StringType()), T.StructField("values", T.BinaryType())])
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,24 +203,29 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 def _train(batches: Iterator[pa.RecordBatch], corpus: tuple[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r)
     model = train([(np.frombuffer(at, np.uint16).astype(np.int64), _tf(np.frombuffer(count, np.int32)), lang) for _, lang, at, count in rows], corpus)
-    names = ["", " idf", *model.languages]
+    # Any text may be a language, the empty one too, so a column says what a row is.
+    kinds = ["head", "idf", *["weights"] * len(model.languages)]
     values = [np.array([model.temperature, *model.bias]), model.idf, *model.weights.T]
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([np.asarray(v, np.float64).tobytes() for v in values], pa.binary())], MODEL.names)
+    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([None, None, *model.languages], pa.string()), pa.array([np.asarray(v, np.float64).tobytes() for v in values], pa.binary())], MODEL.names)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> Model:
     """Train on rows of the learning folds that have a text and a language.
 
     The sample holds each language's rows whose id hashes below a share that gives
-    it sample_rows over the number of languages; at most MOST_LANGUAGES of them,
-    the most frequent.  Document frequencies are those of all texts of the learning
-    folds, with a language or without.  Rows with a null id are never learned from.
+    it sample_rows over the number of languages; of more languages than
+    most_languages only the most frequent are learned, as all weights stay in one
+    worker's memory.  Of rows that repeat an id and a language one is learned, the
+    one whose text sorts first.  An empty language is one like any other.  Document
+    frequencies are those of all texts of the learning folds, with a language or
+    without.  Rows with a null id are never learned from.  Very long texts are
+    learned whole, as counts of features.
     """
     learn = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"))
     everything = learn.where(fold(F.col("id"), FOLDS) != HELD_OUT)
     learn = everything.where("lang is not null")
     learn = learn.withColumn("h", F.xxhash64(F.col("id").cast("string")))
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return train([])
     quota = max(1, sample_rows // len(counts))
@@ -227,15 +233,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for r in counts:
         this = (F.col("lang") == r["lang"]) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, quota / r["count"]) * (1 << 30)))
         share = this if share is None else share | this
-    sample = learn.where(share & F.col("text").isNotNull()).select("h", "lang", "text").mapInArrow(_featurize, SAMPLE)
+    # About sample_rows rows, however often an id repeats: minima are combined before the shuffle.
+    sample = learn.where(share & F.col("text").isNotNull()).groupBy("h", "lang").agg(F.min("text").alias("text")).mapInArrow(_featurize, SAMPLE)
     kept = Scratch(docs.sparkSession, "langid").keep(sample, "sample")
     corpus = document_frequencies(everything)
-    got = {r["language"]: np.frombuffer(r["values"], np.float64) for r in kept.repartition(1).mapInArrow(lambda batches: _train(batches, corpus), MODEL).collect()}
-    if not got:
+    got: dict[str, dict] = {}
+    for r in kept.repartition(1).mapInArrow(lambda batches: _train(batches, corpus), MODEL).collect():
+        got.setdefault(r["kind"], {})[r["language"]] = np.frombuffer(r["values"], np.float64)
+    if "weights" not in got:
         return train([])
-    head, idf = got.pop(""), got.pop(" idf")
-    languages = sorted(got)
-    weights = np.stack([got[x] for x in languages], axis=1) if languages else np.zeros((BUCKETS, 0))
+    head, idf, languages = got["head"][None], got["idf"][None], sorted(got["weights"])
+    weights = np.stack([got["weights"][x] for x in languages], axis=1)
     return Model(languages, idf, weights.astype(np.float32), head[1:], float(head[0]))
 
 
