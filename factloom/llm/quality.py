@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,8 @@ EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 2, 24, 12
 CHUNK = 128
 #: Windows worked on at once, a multiple of CHUNK; bounds memory for very long texts.
 SLAB = 64 * CHUNK
-#: Bound of the training sample in rows, half of them for each label.
-SAMPLE_ROWS = 2000
+#: Bounds of the training sample in rows, half of them for each label, and in bytes of text.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 32_000_000
 EPOCHS, BATCH, RATE, DECAY = 6, 16, 0.01, 1e-4
 
 
@@ -147,13 +147,17 @@ def train(rows: list[tuple[bytes, int]], log_odds: float | None = None) -> Net:
 MODEL = T.StructType([T.StructField("part", T.StringType()), T.StructField("values", T.BinaryType())])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Net:
     """Train on rows of the learning folds whose label is 0 or 1.
 
     Each label gets the rows whose id hashes below a share that gives it half of
-    sample_rows; the join is with these few rows only.  Null ids are never learned
-    from, and neither is a null text.  Where that leaves nothing to learn from, every
-    document scores 0.5, and keep_good drops none.
+    sample_rows; the join is with these few rows only.  Of documents that repeat an
+    id one is learned, the one whose text sorts first; an id with both labels is
+    learned with each.  In the order of their hashes, documents are learned up to
+    sample_bytes of text.  Null ids are never learned from, and neither is a null
+    text.  With labels of one kind only, every document gets that kind's share.
+    Where nothing is left to learn from, every document scores 0.5, and keep_good
+    drops none.
     """
     spark = docs.sparkSession
     marks = labels.select(col(label_id).alias("id"), col(label_col).cast("int").alias("y")).where("y in (0, 1)")
@@ -169,7 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = scratch.keep(marks.where(share).dropDuplicates(["id", "y"]), "chosen")
     texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").cast("binary").alias("text")).where("text is not null")
     # About sample_rows rows of ids and labels: a bounded broadcast.
-    sample = scratch.keep(texts.join(F.broadcast(chosen), "id").select("h", "y", "text"), "sample")
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("h", "y").agg(F.min("text").alias("text"))
+    # About sample_rows rows by now, so one window may order them.
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy("h", "y"))
+    sizes = scratch.keep(sample, "sample").withColumn("upto", upto)
+    sample = sizes.where(F.col("upto") <= sample_bytes).drop("upto")
     log_odds = float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
