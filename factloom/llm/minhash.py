@@ -23,6 +23,7 @@ dropped by the estimate with one of 1e-7.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -181,11 +182,11 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.where(_could_link(F.col("n_a"), F.col("n_b")) & (_estimate("sig_a", "sig_b") >= PERCENT / 100 - MARGIN)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: _Texts, scratch: Scratch) -> DataFrame:
     """The pairs(a, b) that reach the threshold on their whole sets."""
     pairs = scratch.keep(pairs, "likely")
     wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    sets = _some(texts, wanted).select("node", "text").mapInArrow(_sets, SETS)
+    sets = texts.some(wanted).select("node", "text").mapInArrow(_sets, SETS)
     sets = scratch.keep(sets, "sets")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -263,14 +264,23 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], BLOCKS.names)
 
 
-def _some(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts of some nodes, without moving the others' where the ids are few enough to broadcast."""
-    wanted = nodes.select("node").distinct()
-    few = nodes.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "node", "left_semi")
+@dataclass(frozen=True)
+class _Texts:
+    """texts(node, text), and whether some node has several rows."""
 
+    rows: DataFrame
+    repeat: bool
 
-def _rest_of_buckets(members: DataFrame, components: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    def some(self, nodes: DataFrame) -> DataFrame:
+        """The distinct texts of some nodes, without moving the others' where the ids are few enough to broadcast."""
+        wanted = nodes.select("node").distinct()
+        few = nodes.count() <= BROADCAST_IDS
+        found = self.rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), "node", "left_semi")
+        # Copies within a partition go before the shuffle: a node of very many rows sends few.
+        return found.groupBy("node", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).drop("h") if self.repeat else found
+
+
+def _rest_of_buckets(members: DataFrame, components: DataFrame, sigs: DataFrame, texts: _Texts, scratch: Scratch) -> DataFrame:
     """Likely pairs of members(key, node, hub, size) that no star has compared.
 
     A bucket is worked on if some member isn't in its hub's component.  Its members
@@ -288,7 +298,7 @@ def _rest_of_buckets(members: DataFrame, components: DataFrame, sigs: DataFrame,
     open_keys = scratch.keep(span.where("open and c0 <> c1").select("key"), "open")
     parts = F.ceil(F.col("size") / F.lit(BLOCK))
     placed = scratch.keep(placed.join(open_keys, "key", "left_semi"), "placed")
-    bitmaps = scratch.keep(_some(texts, scratch.keep(placed.select("node").distinct(), "nodes")).mapInArrow(_bitmaps, BITMAPS), "bitmaps")
+    bitmaps = scratch.keep(texts.some(scratch.keep(placed.select("node").distinct(), "nodes")).select("node", "text").mapInArrow(_bitmaps, BITMAPS), "bitmaps")
     placed = placed.join(bitmaps, "node").withColumn("part", F.struct(outside.alias("out"), F.pmod(F.xxhash64("node"), parts).alias("at")))
     member = F.struct("node", "component", "n", "sig", "bitmap")
     blocks = scratch.keep(placed.groupBy("key", "part").agg(F.collect_list(member).alias("block")), "blocks")
@@ -312,12 +322,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     texts = docs.select(col(id_col).cast("long").alias("node"), col(text_col).cast("string").alias("text"))
-    rows = scratch.keep(texts.mapInArrow(_features, FEATURES), "features")
-    narrow = rows.select("doc_id", "n", "d1", "d2")
-    classes = scratch.keep(narrow.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
-    chosen = classes.where("node is not null").select("d1", "d2", F.col("node").alias("doc_id"))
-    nodes = rows.join(chosen, ["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("node"), "n", "keys", "sig")
+    rows = texts.mapInArrow(_features, FEATURES).withColumn("row", F.monotonically_increasing_id())
+    rows = scratch.keep(rows, "features")
+    narrow = rows.select("doc_id", "n", "d1", "d2", "row")
+    # One row stands for each class, however often it repeats.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("least")
+    classes = scratch.keep(narrow.where("n > 0").groupBy("d1", "d2").agg(least).select("d1", "d2", F.col("least.doc_id").alias("node"), F.col("least.row").alias("row")), "classes")
+    nodes = rows.join(classes.where("node is not null").select("row"), "row").select(F.col("doc_id").alias("node"), "n", "keys", "sig")
     nodes = scratch.keep(nodes, "nodes")
+    texts = _Texts(texts, not narrow.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty())
     sigs = nodes.select("node", "n", "sig")
     banded = nodes.select(F.explode("keys").alias("key"), "node")
     buckets = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size"))
@@ -330,9 +343,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = scratch.keep(_confirmed(more, texts, scratch), "links")
     if not more.isEmpty():
         components = scratch.keep(connected_components(links.unionByName(more), scratch), "components")
-    classes = classes.join(components.withColumnRenamed("id", "node"), "node", "left")
+    classes = classes.drop("row").join(components.withColumnRenamed("id", "node"), "node", "left")
     classes = scratch.keep(classes.select("d1", "d2", F.coalesce("component_id", "node").alias("of_class")), "classes")
-    out = narrow.join(classes, ["d1", "d2"], "left")
+    out = narrow.drop("row").join(classes, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("of_class")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
