@@ -1,7 +1,8 @@
 """Packed token matrices: best-fit-decreasing with capacity search in a segment tree.
 
-Documents are dealt by hash into shards of about SHARD_CHARS characters.  A shard's
-texts are encoded, cut without loss into pieces of at most CONTEXT tokens, and
+Each task packs the documents that it reads, in shards of about SHARD_BYTES of text:
+nothing is shuffled, and copies of a text are rows like any others.  A shard's texts
+are encoded, cut without loss into pieces of at most CONTEXT tokens, and
 packed in falling order of length, each into the fullest row that still has room.
 A row is a fixed-width row of ids with the cumulative lengths of its segments and
 positions that start anew at each of them.
@@ -9,18 +10,21 @@ positions that start anew at each of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import PATTERN
-from .shared import col
+from .shared import col, text_bytes
 
 CONTEXT = 2048
 PAD = 50256
-SHARD_CHARS = 4_000_000
+SHARD_BYTES = 4_000_000
 
 
 _ENCODERS: dict[str, object] = {}
@@ -109,40 +113,54 @@ PACKED = T.StructType(
 )
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, pad: int = PAD, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def _packed(shard: int, found: list[tuple[int | None, bytes]], encoder, context: int, pad: int) -> pa.RecordBatch:
+    """A shard's rows."""
+    found.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    pieces: list[tuple[int | None, int, np.ndarray]] = []
+    for doc, text in found:
+        ids = np.array(encoder.encode_ordinary(text.decode()), np.uint32)
+        pieces += [(doc, s, ids[s : s + context]) for s in range(0, ids.size, context)]
+    out = {k: [] for k in PACKED.names}
+    for r, members in enumerate(best_fit_decreasing(np.array([p[2].size for p in pieces], np.int64), context)):
+        parts = [pieces[i] for i in members]
+        ends = np.cumsum([p[2].size for p in parts])
+        fill = context - int(ends[-1])
+        ids = np.concatenate([*(p[2] for p in parts), np.full(fill, pad, np.uint32)]).astype("<u4")
+        positions = np.concatenate([*(np.arange(p[2].size) for p in parts), np.zeros(fill, np.int64)]).astype("<u4")
+        for k, v in zip(PACKED.names, (shard, r, [p[0] for p in parts], [p[1] for p in parts], [0, *ends.tolist()], int(ends[-1]), ids.tobytes(), positions.tobytes()), strict=True):
+            out[k].append(v)
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, kind in zip(PACKED.names, kinds, strict=True)], PACKED.names)
+
+
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, pad: int = PAD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Packed rows of all texts; path is a file of ranked tokens.
 
     doc_ids and starts say of which document, and from which of its tokens on, each
     segment is; cu_seqlens has 0 and the end of each segment.  ids and positions
     are `context` little-endian unsigned 32-bit numbers; the rest of a row is `pad`
     at position 0.  Null and empty texts have no tokens and so no segment.  Null
-    ids stay null in doc_ids.  Repeated rows are packed as often as they occur.
+    ids stay null in doc_ids.  Repeated rows are packed as often as they occur, and a
+    text longer than a row, or a shard, in as many pieces as it takes.  A shard's
+    number is its task's, times 2 ** 32, and its place in it: the same files read
+    alike give the same rows.
     """
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_chars))
-    dealt = rows.where("text <> ''").withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        encoder, shard = ranked_encoder(path), key[0].as_py()
-        found = sorted(zip(table["id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        pieces: list[tuple[int | None, int, np.ndarray]] = []
-        for doc, text in found:
-            ids = np.array(encoder.encode_ordinary(text), np.uint32)
-            pieces += [(doc, s, ids[s : s + context]) for s in range(0, ids.size, context)]
-        out = {k: [] for k in PACKED.names}
-        for r, members in enumerate(best_fit_decreasing(np.array([p[2].size for p in pieces], np.int64), context)):
-            parts = [pieces[i] for i in members]
-            ends = np.cumsum([p[2].size for p in parts])
-            fill = context - int(ends[-1])
-            ids = np.concatenate([*(p[2] for p in parts), np.full(fill, pad, np.uint32)]).astype("<u4")
-            positions = np.concatenate([*(np.arange(p[2].size) for p in parts), np.zeros(fill, np.int64)]).astype("<u4")
-            for k, v in zip(PACKED.names, (shard, r, [p[0] for p in parts], [p[1] for p in parts], [0, *ends.tolist()], int(ends[-1]), ids.tobytes(), positions.tobytes()), strict=True):
-                out[k].append(v)
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(out[k], kind) for k, kind in zip(PACKED.names, kinds, strict=True)], names=PACKED.names)
-
-    return dealt.groupBy("shard").applyInArrow(run, PACKED)
+    rows = docs.select(col(id_col).cast("long"), col(text_col).cast("string")).where(col(text_col) != "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, shard = ranked_encoder(path), TaskContext.get().partitionId() << 32
+        found, size = [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                found.append((doc, text))
+                size += len(text)
+                if size >= shard_bytes:
+                    yield _packed(shard, found, encoder, context, pad)
+                    found, size, shard = [], 0, shard + 1
+        if found:
+            yield _packed(shard, found, encoder, context, pad)
+
+    return rows.mapInArrow(run, PACKED)
 
 
 def write(packed: DataFrame, folder: str) -> None:

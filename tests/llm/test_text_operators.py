@@ -90,7 +90,7 @@ def test_count_edits_frame(spark):
 def test_packing_is_lossless(spark, library, texts):
     texts = [t for t in texts if "<|endoftext|>" not in t]
     df = docs(spark, [*texts, *texts[:20], None])
-    rows = packing.pack(df, ranks_path(), context=64, shard_chars=100_000).collect()
+    rows = packing.pack(df, ranks_path(), context=64, shard_bytes=100_000).collect()
     ids, positions = packing.matrix(rows), packing.matrix(rows, "positions")
     assert ids.shape == (len(rows), 64)
     found: dict = {}
