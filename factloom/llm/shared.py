@@ -22,7 +22,7 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and bound what they get at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in have:

@@ -212,7 +212,9 @@ def test_pivots_lose_nothing(monkeypatch):
     block = bm25.Block(np.arange(len(queries)), np.repeat(np.arange(len(queries)), [t.size for t in terms]), np.concatenate(terms))
     df = np.array([sum(int(x["df"][x["terms"] == t].sum()) for x in shards) for t in block.terms])
     block.idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-    best = bm25.Best(len(queries), 10)
+    of = {int(q): c for c in range(block.size) for q in block.members[block.first[c] : block.first[c + 1]]}
+    assert sorted(of) == list(range(len(queries))) and block.size < len(queries)
+    best = bm25.Best(block.size, 10)
     skipped, seen = [], bm25.Segment.candidates
     monkeypatch.setattr(bm25.Segment, "candidates", lambda *a: skipped.append(seen(*a)[0].size == 0) or seen(*a))
     mean = sum(len(t.split()) for _, t in docs) / len(docs)
@@ -220,7 +222,7 @@ def test_pivots_lose_nothing(monkeypatch):
         bm25._scan(x, block, mean, best)
     want = bm25_brute(docs, queries)
     for q, (name, _) in enumerate(queries):
-        got = [(-s, i) for s, i, there in zip(best.score[q], best.doc[q], best.named[q], strict=True) if there]
+        got = [(-s, i) for s, i, there in zip(best.score[of[q]], best.doc[of[q]], best.named[of[q]], strict=True) if there]
         hits = [(s, i) for s, i in want[name] if i != 305]
         assert [s for s, _ in got] == pytest.approx([s for s, _ in hits], abs=1e-8) and len(got) in (len(hits), len(hits) + 1 if len(hits) < 10 else 10)
         assert len({s for s, _ in hits}) < len(hits) or [i for _, i in got] == [i for _, i in hits]
