@@ -10,20 +10,25 @@ from .text import strip
 RELATIVE, ABSOLUTE = 0.01, 0.05
 
 
-def parse_number(c: Column) -> Column:
-    """The double in a messy numeral, null where there is none.
+def cleaned(c: Column) -> Column:
+    """A messy numeral without blanks (no-break ones too) and apostrophes."""
+    return F.regexp_replace(strip(F.regexp_replace(c, "\u00a0", " ")), "[ ']", "")
+
+
+def numeral(s: Column) -> Column:
+    """The double in a cleaned numeral, null where there is none.
 
-    Blanks (no-break ones too) and apostrophes go.  A comma is a thousands mark
-    beside a point or in `d,ddd` to `ddd,ddd`, else the decimal mark.  Infinities
-    and not-a-number are no numbers here.
+    A comma is a thousands mark beside a point or in `d,ddd` to `ddd,ddd`, else the
+    decimal mark.  Infinities and not-a-number are no numbers here.
     """
-    s = strip(F.regexp_replace(c, " ", " "))
-    s = F.regexp_replace(s, "[ ']", "")
-    comma, point = s.contains(","), s.contains(".")
-    thousands = s.rlike(r"^-?\d{1,3},\d{3}$")
-    s = F.when(comma & (point | thousands), F.regexp_replace(s, ",", "")).when(comma, F.regexp_replace(s, ",", ".")).otherwise(s)
-    numeral = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(numeral, s.try_cast("double"))
+    thousands = s.rlike(r"^-?\d{1,3},\d{3}$|,.*\.|\..*,")
+    point = F.replace(s, F.lit(","), F.when(thousands, "").otherwise("."))
+    return F.when(point.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), point.try_cast("double"))
+
+
+def parse_number(c: Column) -> Column:
+    """The double in a number as people write it; where many are read, clean first and keep that as a column."""
+    return numeral(cleaned(c))
 
 
 def round3(x: Column) -> Column:

@@ -28,20 +28,23 @@ def canonical(unit: Column) -> Column:
 
 
 def factor(source: Column, target: Column) -> Column:
-    """What to multiply by; 1 for equal units, none, and pairs that aren't known."""
-    a, b = canonical(source), canonical(target)
-    known = F.try_element_at(_map(_tables()[1]), F.concat(a, F.lit(">"), b))
-    return F.when((a == "") | (a == b), F.lit(1.0)).otherwise(F.coalesce(known, F.lit(1.0)))
+    """What to multiply by; 1 for equal units, none, and pairs that aren't known.  Both are canonical."""
+    known = F.try_element_at(_map(_tables()[1]), F.concat(source, F.lit(">"), target))
+    return F.when((source == "") | (source == target), F.lit(1.0)).otherwise(F.coalesce(known, F.lit(1.0)))
 
 
-def convert_temperature(x: Column, source: Column, target: Column) -> Column:
-    """By way of degrees Celsius; both units are temperatures in canonical spelling."""
-    celsius = F.when(source == "°F", (x - 32.0) * 5.0 / 9.0).when(source == "K", x - 273.15).otherwise(x)
-    return F.when(target == "°F", celsius * 9.0 / 5.0 + 32.0).when(target == "K", celsius + 273.15).otherwise(celsius)
+def converted(x: Column, source: Column, target: Column) -> Column:
+    """x in the target unit, rounded to 6 decimals; both units are canonical.
+
+    Temperatures go by way of degrees Celsius, others by their factor: one formula,
+    in which x stands once, so that a filter on the result doesn't multiply x's code.
+    """
+    warm = source.isin(*registry.TEMPERATURES) & target.isin(*registry.TEMPERATURES)
+    of = lambda unit, fahrenheit, kelvin, other: F.when(warm & (unit == "°F"), fahrenheit).when(warm & (unit == "K"), kelvin).otherwise(other)
+    celsius = (x - of(source, 32.0, 273.15, 0.0)) * F.when(warm, of(source, 5.0, 1.0, 1.0)).otherwise(factor(source, target)) / of(source, 9.0, 1.0, 1.0)
+    return F.round(celsius * of(target, 9.0, 1.0, 1.0) / of(target, 5.0, 1.0, 1.0) + of(target, 32.0, 273.15, 0.0), 6)
 
 
 def to_unit(x: Column, source: Column, target: Column) -> Column:
-    """x in the target unit, rounded to 6 decimals."""
-    a, b = canonical(source), canonical(target)
-    warm = a.isin(*registry.TEMPERATURES) & b.isin(*registry.TEMPERATURES)
-    return F.round(F.when(warm, convert_temperature(x, a, b)).otherwise(x * factor(source, target)), 6)
+    """x in the target unit, rounded to 6 decimals, whatever the units' spellings."""
+    return converted(x, canonical(source), canonical(target))

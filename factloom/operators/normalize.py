@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import parse_number
+from ..functions.numbers import cleaned, numeral
 from ..functions.text import strip
-from ..functions.units import to_unit
+from ..functions.units import canonical, converted
 
 # Seal suffixes of a part number; digits that OCR confuses with letters
 SEAL_SUFFIX = r"(?i)[-/]?(?:2RSH?|2RS1?|2Z|ZZ|RS|2RU|2LS|NSE|DDU)$"
@@ -48,11 +48,14 @@ def normalize(observations: DataFrame, fields: DataFrame) -> DataFrame:
     """
     of_field = fields.select("category", "field", "field_ord", "label", "type", "canonical_unit", "enum", "synonyms", "candidates")
     rows = observations.join(F.broadcast(of_field), ["category", "field"])
-    number = to_unit(parse_number(F.col("value")), F.col("unit"), F.col("canonical_unit"))
+    # A column per step: an expression that is used more than once isn't written out more than once.
+    numeric = F.col("type") == "number"
+    rows = rows.withColumn("numeral", F.when(numeric, cleaned(F.col("value")))).withColumn("said_unit", F.when(numeric, canonical(F.col("unit"))))
+    rows = rows.withColumn("number", numeral(F.col("numeral"))).withColumn("wanted_unit", F.when(numeric, canonical(F.col("canonical_unit"))))
     text = F.when(F.col("type") == "enum", domain_value(F.col("value"), F.col("synonyms"), F.col("enum"), F.col("candidates"))).otherwise(string_key(F.col("value"), F.col("field")))
     return rows.select(
         *[c for c in observations.columns], "field_ord", "label", "type", "canonical_unit", "enum",
-        F.when(F.col("type") == "number", number).alias("key_num"),
-        F.when(F.col("type") != "number", text).alias("key_str"),
+        F.when(numeric, converted(F.col("number"), F.col("said_unit"), F.col("wanted_unit"))).alias("key_num"),
+        F.when(~numeric, text).alias("key_str"),
         (F.coalesce("authority", F.lit(0.8)) * F.col("confidence")).alias("eff"),
     )
