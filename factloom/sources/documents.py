@@ -8,6 +8,7 @@ source_id, source_type (pdf, web, ocr), title, authority, path, raw_text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -117,8 +118,14 @@ def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield page.map(lambda x: None if x is None else page_text(x))
 
 
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Text with its character references, named and numeric, as characters."""
+    return text.map(lambda x: None if x is None else unescape(x))
+
+
 def strip_tags(html: Column) -> Column:
-    """Page text with built-in functions only: every cell on a line of its own.
+    """Page text without a parser: every cell on a line of its own.
 
     Cheaper than html_text, but label and value of a table row come apart, so the
     extraction rules don't match such rows.
@@ -126,9 +133,7 @@ def strip_tags(html: Column) -> Column:
     x = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>", " ")
     x = F.regexp_replace(x, r"(?i)</(tr|td|th|p|div|li|h[1-6])>", "\n")
     x = F.regexp_replace(x, "<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return F.regexp_replace(x, "[ \t]+", " ")
+    return F.regexp_replace(unescaped(x), "[ \t]+", " ")
 
 
 def blocks(sources: DataFrame) -> DataFrame:
