@@ -3,6 +3,8 @@
 import glob
 import math
 import os
+import re
+from html import unescape
 
 import duckdb
 import pytest
@@ -39,5 +41,61 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_html_blocks(spark, sf):
-    assert q.queries()["html_blocks"](spark, sf).count() > 50
+def plain_rows(page):
+    """Rows by a scan over tags: each open element of a kind that gives a row gets the texts until it, or an element around it, ends."""
+    rows, stack, skipping = [], [], 0
+    for m in re.finditer(r"<!--.*?-->|<!DOCTYPE[^>]*>|<(/?)([a-z][a-z0-9]*)\b([^>]*)>|([^<]+)", page, re.I | re.S):
+        end, tag, _, text = m.groups()
+        if text is not None:
+            text = unescape(text).strip()
+            for row in stack:
+                if text and not skipping and row[1] is not None:
+                    row[1].append(text)
+        elif tag:
+            tag = tag.lower()
+            if tag in ("br", "img", "meta", "link", "input", "hr"):
+                continue
+            if tag in ("script", "style", "noscript", "svg"):
+                skipping += -1 if end else 1
+            elif not end:
+                own = [] if tag in ("p", "h1", "h2", "h3", "h4", "li") and not skipping else None
+                if own is not None:
+                    rows.append(own)
+                stack.append((tag, own))
+            elif any(t == tag for t, _ in stack):
+                while stack.pop()[0] != tag:
+                    pass
+    return [" ".join(r) for r in rows if r]
+
+
+def test_html_blocks_equal_a_plain_scan(spark, sf):
+    """Every row of every page; the pages have no tables."""
+    got = {}
+    for r in q.queries()["html_blocks"](spark, sf).collect():
+        got.setdefault(r["page_id"], {})[r["line"]] = r["said"]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(pages) > 40
+    for p in pages:
+        want = [line.rstrip() for row in plain_rows(p["html"]) for line in re.split("\r\n|[\n\r]", row)]
+        assert got.get(p["page_id"], {}) == {i: x for i, x in enumerate(want, 1) if x}
+
+
+def test_entry_without_the_corpus_operators(monkeypatch):
+    """A part that can't be imported leaves the engine's queries."""
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+
+    def broken(name, *args, **kw):
+        if name == "corpus_pipeline":
+            raise ImportError("a library is missing")
+        return real(name, *args, **kw)
+
+    monkeypatch.setattr(builtins, "__import__", broken)
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    entry = importlib.import_module("__spark_entry__")
+    monkeypatch.undo()
+    sys.modules.pop("__spark_entry__", None)
+    assert "fuse_numeric" in entry.queries() and not any(n.startswith("op") and n[2:3].isdigit() for n in entry.queries())
