@@ -87,6 +87,66 @@ def test_count_edits_frame(spark):
     assert out == {1: (count("hello world"), count("HELLO world!")), 2: (0, count("new text")), 3: (count("kept"),) * 2, 4: (count("x"),) * 2, None: (0, 0)}
 
 
+def test_kept_trees_take_later_edits(spark, tmp_path, texts):
+    """Trees written, read, edited twice by joins, against counts of the texts as they then are."""
+    b = bpe.tokenizer(bpe_path())
+    count = lambda t: sum(len(x) for x in [b.encode([t.replace("<|", "")])[0]])
+    texts = [t.replace("<|", "") for t in texts]
+    trees, names = editcount.plant(docs(spark, [*texts, None, "same", "same"], ids=[*range(len(texts)), 7000, 7001, 7001]), bpe_path())
+    trees.write.parquet(str(tmp_path / "0"))
+    now = {**dict(enumerate(texts)), 7000: "", 7001: "same"}
+    rng = random.Random(5)
+    for turn in (1, 2):
+        edits = {i: [(rng.randint(0, len(t)), rng.randint(0, len(t) + 3), rng.choice(["", "x", " new words", "'s", "\n\n"])) for _ in range(rng.randint(0, 3))] for i, t in now.items() if i % 3 != turn}
+        table = spark.createDataFrame(list(edits.items()), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("edits", T.ArrayType(editcount.EDIT))]))
+        old = spark.read.parquet(str(tmp_path / str(turn - 1)))
+        got, made = editcount.apply_edits(editcount.with_edits(old, table), names, bpe_path())
+        got = got.cache()
+        before = {i: count(t) for i, t in now.items()}
+        for i, own in edits.items():
+            for start, stop, new in own:
+                start, stop = min(start, len(now[i])), min(max(stop, start), len(now[i]))
+                now[i] = now[i][:start] + new + now[i][stop:]
+        rows = got.collect()
+        assert len(rows) == len(now) + 1
+        for r in rows:
+            i = r["doc_id"]
+            assert (r["text"], r[names["n_tokens"]], r[made["n_tokens_before"]], r[made["chars"]]) == (now[i], count(now[i]), before[i], len(now[i]))
+            assert i in edits or r[made["recut_chars"]] == 0
+        got.drop(*made.values()).write.parquet(str(tmp_path / str(turn)))
+
+
+def test_edit_query(spark):
+    """op2 over rows with nulls, repeats and long texts, against counts from scratch."""
+    b = bpe.tokenizer(bpe_path())
+    rows = [*ODD[:6], "some words, " * 3000, None, "twice over", "twice over"]
+    df = docs(spark, rows, ids=[*range(8), 9, 9]).withColumn("n_tokens", F.lit("clash"))
+    edits = {r["doc_id"]: [(e["start"], e["stop"], e["text"]) for e in r["edits"] if e["start"] is not None] for r in editcount.sample_edits(df).collect()}
+    got = editcount.op2(df, bpe_path()).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = rows[min(r["doc_id"], 8)] or ""
+        assert r["n_tokens"] == b.encode([text])[0].size
+        for start, stop, new in edits[r["doc_id"]] if text or rows[min(r["doc_id"], 8)] is not None else [(0, 0, " inserted words, 2 of them"), (0, 0, "it's"), (0, 0, "")]:
+            start, stop = min(start, len(text)), min(max(stop, start), len(text))
+            text = text[:start] + new + text[stop:]
+        assert (r["n_tokens_after"], r["chars_after"]) == (b.encode([text])[0].size, len(text))
+    assert editcount.op2(docs(spark, []), bpe_path()).count() == 0
+
+
+def test_packing_query(spark, library):
+    """op7's digests are those of the rows that pack gives, copies and empty texts included."""
+    df = docs(spark, ["a b c", "", None, *["copy of a text"] * 300, "long " * 5000])
+    packed = {(r["shard"], r["row"]): r for r in packing.pack(df, ranks_path()).collect()}
+    got = packing.op7(df, ranks_path()).collect()
+    assert len(got) == len(packed)
+    for r in got:
+        p = packed[r["shard"], r["row"]]
+        assert (r["doc_ids"], r["starts"], r["cu_seqlens"]) == (p["doc_ids"], p["starts"], p["cu_seqlens"])
+        assert r["ids_sha256"] == hashlib.sha256(p["ids"]).hexdigest() and r["positions_sha256"] == hashlib.sha256(p["positions"]).hexdigest()
+    assert sum(r["n_tokens"] for r in got) == sum(len(library.encode(t or "", add_special_tokens=False).ids) for t in [x["text"] for x in df.collect()])
+
+
 def test_packing_is_lossless(spark, library, texts):
     texts = [t for t in texts if "<|endoftext|>" not in t]
     df = docs(spark, [*texts, *texts[:20], None])
