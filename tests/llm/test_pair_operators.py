@@ -1,6 +1,8 @@
 """Operators that compare documents, vectors or records, against brute force."""
 
 import collections
+import gzip
+import hashlib
 import math
 import random
 
@@ -245,22 +247,87 @@ def test_audit_finds_what_differs(spark):
     rows = [(i, f"http://h/{i}", "<p>" + "t" * (i % 7), "") for i in range(1300)]
     a = merkle.archive(spark.createDataFrame(rows, PAGES))
     b = a.withColumn("data", F.when(F.col("key").isin(0, 511, 1299), F.concat("data", F.lit("!"))).otherwise(F.col("data")))
-    b = b.where("key <> 700").unionByName(spark.createDataFrame([(9, 0, 1, "new")], "file long, seq long, key long, data string"))
-    got = {(r["file"], r["seq"]): r["state"] for r in merkle.audit(a, b).collect()}
-    assert got[0, 0] == got[0, 511] == got[2, 275] == "corrupt" and got[1, 188] == "missing" and got[9, 0] == "extra"
-    # What follows a record that grew or went lies at other offsets.
-    assert all(k[0] in (0, 1, 9) or k == (2, 275) for k in got)
+    b = b.where("key <> 700").unionByName(spark.createDataFrame([(9, 5000, "new")], "file long, key long, data string"))
+    got = {(r["file"], r["key"]): r["state"] for r in merkle.audit(a, b).collect()}
+    assert got[0, 0] == got[0, 511] == got[2, 1299] == "corrupt" and got[1, 700] == "missing" and got[9, 5000] == "extra"
+    # What follows a record that grew or went lies at other offsets, to the end of its file.
+    moved = {k for k, state in got.items() if state == "moved"}
+    assert moved == {(0, i) for i in range(1, 511)} | {(1, i) for i in range(701, 1024)} and len(got) == len(moved) + 5
     assert merkle.audit(a, a).count() == 0 and merkle.audit(a.limit(0), a.limit(0)).count() == 0
+    assert {r["state"] for r in merkle.audit(a.where("file = 1"), a.limit(0)).collect()} == {"missing"}
+
+
+def audited(pages):
+    """What op9 should give, by plain Python: {(page, state)} counted, for pages of unique ids."""
+    files: dict = {}
+    for i, url, html in sorted(pages):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:md5:{hashlib.md5(f'{i}|{url}'.encode()).hexdigest()}>\r\nWARC-Target-URI: {url}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(html.encode())}\r\n\r\n"
+        here, there = files.setdefault(i // 512, ([], []))
+        own = (head + html + "\r\n\r\n").encode()
+        here.append((i, 0, own))
+        if i % 2011 != 17:
+            there.append((i, 0, b"0" * len(own) if i % 997 == 5 else (head + html.replace("e", "3", 1) + "\r\n\r\n").encode() if i % 101 == 7 else own))
+        if i % 3001 == 23:
+            there.append((i, 1, b"WARC/1.1\r\n\r\n"))
+    out = []
+    for file, (here, there) in files.items():
+        at, places = 0, {}
+        for i, turn, data in there:
+            places[i, turn] = (at, data)
+            at += len(data)
+        at = 0
+        for seq, (i, _, data) in enumerate(here):
+            other = places.pop((i, 0), None)
+            out.append((i, file, seq, at, hashlib.sha256(data).hexdigest(), "missing" if other is None else "corrupt" if other[1] != data else "moved" if other[0] != at else "intact"))
+            at += len(data)
+        out += [(i, file, [x[:2] for x in there].index((i, 1)), at, hashlib.sha256(data).hexdigest(), "extra") for (i, _), (at, data) in places.items()]
+    return sorted(out)
 
 
 def test_audit_query(spark):
-    rows = [(i, f"http://h/{i}", "<p>hello</p>", "x") for i in range(1200)] + [(None, None, None, ""), (7, "again", None, ""), (7, "again", None, "")]
-    got = merkle.op9(spark.createDataFrame(rows, PAGES)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        hurt = r["page_id"] is not None and (r["page_id"] % 101 == 7 or r["page_id"] % 997 == 5)
-        assert r["state"] == ("corrupt" if hurt else "intact")
-    for file in {r["file"] for r in got}:
-        own = sorted((r["seq"], r["first_byte"], r["last_byte"]) for r in got if r["file"] == file)
-        assert own[0][1] == 0 and all(x[2] == y[1] for x, y in zip(own, own[1:], strict=False))
+    pages = [(i, f"http://h/{i}", "<p>hello é</p>" * (i % 3)) for i in range(5200)]
+    got = merkle.op9(spark.createDataFrame([(*p, "x") for p in pages], PAGES)).collect()
+    assert sorted((r["page_id"], r["file"], r["seq"], r["first_byte"], r["sha256"], r["state"]) for r in got) == audited(pages)
+    assert {r["state"] for r in got} == {"intact", "corrupt", "missing", "extra", "moved"}
     assert merkle.op9(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_audit_of_pages_without_own_ids(spark):
+    """Null and repeated ids fill files in the order of the rows: none grows with an id."""
+    rows = [(None, None, None, "")] * 3000 + [(24, "again", "body", "")] * 1500 + [(i, "u", "", "") for i in range(100, 300)]
+    got = merkle.op9(spark.createDataFrame(rows, PAGES).repartition(3)).collect()
+    assert len(got) == len(rows) and {r["state"] for r in got} == {"intact"}
+    sizes = collections.Counter(r["file"] for r in got)
+    assert max(sizes.values()) <= merkle.FILE_RECORDS
+
+
+def test_warc_files(spark, tmp_path):
+    """Two replicas of plain and compressed files: a flipped byte, a lost record, a file cut short."""
+    rng = random.Random(4)
+    record = lambda i, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    records = [record(i, bytes(rng.choices(range(256), k=rng.randint(0, 300)))) for i in range(120)]
+    for side in ("a", "b"):
+        (tmp_path / side).mkdir()
+    pack = lambda some: b"".join(gzip.compress(r, mtime=0) for r in some)
+    (tmp_path / "a" / "1.warc").write_bytes(b"".join(records[:60]))
+    (tmp_path / "a" / "2.warc.gz").write_bytes(pack(records[60:]))
+    flipped = bytearray(b"".join(records[:60]))
+    flipped[sum(map(len, records[:30])) + len(records[30]) - 5] ^= 1
+    (tmp_path / "b" / "1.warc").write_bytes(bytes(flipped[:-7]))
+    (tmp_path / "b" / "2.warc.gz").write_bytes(pack(records[60:90] + records[91:]))
+    one, two = (merkle.read_warc(spark, str(tmp_path / side)) for side in ("a", "b"))
+    got = one.orderBy("path", "seq").collect()
+    assert [bytes(r["data"]) for r in got] == records and [r["key"] for r in got] == [f"<urn:{i}>" for i in range(120)] and not any(r["error"] for r in got)
+    assert all(x["last"] == y["first"] or y["first"] == 0 for x, y in zip(got, got[1:], strict=False))
+    found = {(r["file"], r["key"] or r["seq"]): r["state"] for r in merkle.audit(*merkle.numbered(one, two)).collect()}
+    assert found.pop((0, "<urn:30>")) == "corrupt" and found.pop((0, "<urn:59>")) == "missing" and found.pop((0, 59)) == "extra" and found.pop((1, "<urn:90>")) == "missing"
+    assert found == {(1, f"<urn:{i}>"): "moved" for i in range(91, 120)}
+    (tmp_path / "c").mkdir()
+    broken = bytearray((tmp_path / "a" / "2.warc.gz").read_bytes())
+    broken[len(pack(records[60:70])) + 3] ^= 255
+    (tmp_path / "c" / "2.warc.gz").write_bytes(bytes(broken))
+    (tmp_path / "c" / "3.warc").write_bytes(b"junk\r\n" + records[0])
+    (tmp_path / "c" / "4.warc").write_bytes(b"")
+    bad = merkle.read_warc(spark, str(tmp_path / "c")).orderBy("path", "seq").collect()
+    assert [bool(r["error"]) for r in bad[-2:]] == [True, False] and bytes(bad[-1]["data"]) == records[0]
+    assert sum(bool(r["error"]) for r in bad) == 2 and {r["key"] for r in bad} >= {f"<urn:{i}>" for i in range(71, 120)}
