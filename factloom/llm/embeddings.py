@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +29,14 @@ from .shared import Scratch, col, connected_components
 
 COSINE = 0.93
 #: A little over the angle, so that rounding loses no pair; cosines decide.
-EPS = float(np.arccos(COSINE)) + 1e-9
-#: Home vectors of a cell aimed at, and bounds of the number of pivots.
+EPS = float(np.arccos(COSINE)) + 1e-6
+#: Home vectors of a cell aimed at, and bounds of the pivots in number and bytes.
 CELL = 2048
-MOST_PIVOTS = 256
+MOST_PIVOTS, PIVOT_BYTES = 4096, 32_000_000
 #: Vectors in a block: with 64 components, half a megabyte.
 BLOCK = 1024
+#: Rows of the table of cells (24 bytes each) up to which it is broadcast.
+BROADCAST_CELLS = 500_000
 #: Numbers from here on stand for vectors without an id.
 NAMELESS = 1 << 62
 
@@ -58,16 +62,29 @@ def _stack(column: pa.Array) -> np.ndarray:
 
 def _by_dimension(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
     """Parts of the batch whose vectors have equal length."""
-    lengths = np.array([len(x) for x in batch.column(place).to_pylist()], np.int64) if batch.num_rows else np.zeros(0, np.int64)
+    lengths = pc.list_value_length(batch.column(place)).to_numpy(zero_copy_only=False)
     for d in np.unique(lengths):
-        yield batch.take(pa.array(np.flatnonzero(lengths == d)))
+        yield batch if (lengths == d).all() else batch.take(pa.array(np.flatnonzero(lengths == d)))
 
 
-HOMES = T.StructType([T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("group", T.StringType()), T.StructField("home", T.IntegerType()), T.StructField("angle", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
-SENT = T.StructType([T.StructField("group", T.StringType()), T.StructField("cell", T.IntegerType()), T.StructField("at_home", T.BooleanType()), T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+CELLS = T.StructType([T.StructField("group", T.StringType()), T.StructField("home", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("radius", T.DoubleType())])
+SIZES = T.StructType([T.StructField("group", T.StringType()), T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType())])
 FOUND = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
 
 
+def _counted(group: pa.Array, cell: np.ndarray, angle: np.ndarray | None = None) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per group: cells, how many rows each has, and their largest angles."""
+    names = group.dictionary_encode()
+    codes = names.indices.to_numpy(zero_copy_only=False)
+    for code, name in enumerate(names.dictionary.to_pylist()):
+        mine = codes == code
+        cells, inverse, n = np.unique(cell[mine], return_inverse=True, return_counts=True)
+        most = np.zeros(cells.size)
+        if angle is not None:
+            np.maximum.at(most, inverse, angle[mine])
+        yield name, cells, n, most
+
+
 def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (vertex, smallest id of its component) for links i-j between positions."""
     label = ids.copy()
@@ -88,7 +105,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(batch.num_rows):
             a, b = (batch.column(side).slice(at, 1).flatten() for side in (0, 1))
-            va, vb = (m.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1) for m in (a, b))
+            va, vb = (_unit(m.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1)) for m in (a, b))
             na, nb = (m.field("node").to_numpy(zero_copy_only=False) for m in (a, b))
             copies = b.field("copies").to_numpy(zero_copy_only=False)
             linked = (va @ vb.T >= COSINE) & (na[:, None] != nb[None, :])
@@ -110,62 +127,63 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     non-finite component link with nothing, nor do rows with a null label or
     vectors of different length.  Repeated rows count as other vectors that are
     linked.  A null id takes part in no component: its component is null, kept is
-    false, its number of links counts all the same.
+    false, its number of links counts all the same.  A table without rows gives an
+    empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    raw = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v"), col(label_col).cast("string").alias("label"))
+    # Components are kept as they are given; workers compute in double precision.
+    number = "float" if vectors.select(col(vector_col)).dtypes[0][1] == "array<float>" else "double"
+    raw = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast(f"array<{number}>").alias("v"), col(label_col).cast("string").alias("label"))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     # -0.0 and 0.0 are one value.
-    raw = raw.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.transform("v", lambda x: x + F.lit(0.0))))
-    digest = F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws("|", "label", F.concat_ws(",", F.col("v").cast("array<string>"))), 256))
-    rows = scratch.keep(raw.withColumn("digest", digest).withColumn("group", F.concat_ws("|", F.size("v"), "label")), "rows")
-    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.any_value("group").alias("group"), F.any_value("v").alias("v"))
-    # A node without any id gets a number above all ids, made from its digest.
-    nameless = F.shiftrightunsigned(F.xxhash64("digest"), 2) + F.lit(NAMELESS)
-    nodes = scratch.keep(nodes.withColumn("node", F.coalesce("least", nameless)), "nodes")
-
-    largest = nodes.groupBy("group").count().agg(F.max("count")).first()[0] or 0
-    wanted = int(min(MOST_PIVOTS, max(1, -(-largest // CELL))))
-    picked = nodes.orderBy(F.xxhash64("digest"), "digest").limit(wanted).select("v").collect()
+    raw = raw.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.transform("v", lambda x: x + F.lit(0.0).cast(number))))
+    there, group = F.col("v").isNotNull(), F.concat_ws("|", F.size("v"), "label")
+    # Two hashes of 64 bits stand for a vector and its label.
+    raw = raw.select("id", "v", F.when(there, group).alias("group"), *[F.when(there, F.xxhash64(F.lit(k), group, "v")).alias(f"d{k}") for k in (1, 2)])
+    rows = scratch.keep(raw.select("id", "d1", "d2"), "rows")
+    nodes = raw.where(there).groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.any_value("group").alias("group"), F.any_value("v").alias("v"))
+    # A node without any id gets a number above all ids, made from its hash.
+    nodes = scratch.keep(nodes.withColumn("node", F.coalesce("least", F.shiftrightunsigned("d1", 2) + F.lit(NAMELESS))), "nodes")
+
+    largest = nodes.groupBy("group").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).agg(F.max("n").alias("n"), F.max("width").alias("width")).first()
+    wanted = max(1, min(MOST_PIVOTS, PIVOT_BYTES // (8 * (largest["width"] or 1)), -(-(largest["n"] or 0) // CELL)))
+    picked = nodes.orderBy("d1", "d2").limit(wanted).select("v").collect()
     if picked:
         width = max(len(r["v"]) for r in picked)
         pivots = _unit(np.array([[*r["v"], *[0.0] * (width - len(r["v"]))] for r in picked]))
     else:
         pivots = np.ones((1, 1))
+    shared = spark.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _by_dimension(whole, 3):
-                unit = _unit(_stack(batch.column(3)))
-                angles = _angles(unit, pivots)
+            for batch in _by_dimension(whole, 1):
+                angles = _angles(_unit(_stack(batch.column(1))), shared.value)
                 home = angles.argmin(axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * unit.shape[1]), pa.array(unit.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(home.astype(np.int32)), pa.array(angles[np.arange(len(unit)), home]), lists], HOMES.names)
+                for name, cells, n, most in _counted(batch.column(0), home, angles[np.arange(len(home)), home]):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * cells.size, pa.string()), pa.array(cells, pa.int32()), pa.array(n, pa.int64()), pa.array(most)], CELLS.names)
+
+    cells = scratch.keep(nodes.select("group", "v").mapInArrow(homes, CELLS).groupBy("group", "home").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")), "cells")
+    reached = _Reach(cells, shared, cells.count() <= BROADCAST_CELLS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, at, cell in reached(batches):
+            for name, cells, n, _ in _counted(batch.column(0).take(pa.array(at)), cell):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * cells.size, pa.string()), pa.array(cells, pa.int32()), pa.array(n, pa.int64())], SIZES.names)
 
-    placed = scratch.keep(nodes.select("node", "copies", "group", "v").mapInArrow(homes, HOMES), "homes")
-    # A radius per cell of a group; an array of them, at most MOST_PIVOTS long, goes with each group.
-    radii = placed.groupBy("group", "home").agg(F.max("angle").alias("radius")).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("home", "radius"))).alias("radii"))
-    radii = scratch.keep(radii.select("group", F.transform(F.sequence(F.lit(0), F.lit(len(pivots) - 1)), lambda i: F.coalesce(F.try_element_at("radii", i), F.lit(-9.0))).alias("radii")), "radii")
+    kind = nodes.schema["v"].dataType
+    sent_type = T.StructType([T.StructField("group", T.StringType()), T.StructField("cell", T.IntegerType()), T.StructField("at_home", T.BooleanType()), T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("v", kind)])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _by_dimension(whole, 4):
-                unit = _stack(batch.column(4))
-                home, angle = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                angles = _angles(unit, pivots)
-                reach = np.minimum(angle[:, None] + 2 * EPS, _stack(batch.column(5)) + EPS)
-                goes = angles <= reach
-                goes[np.arange(len(unit)), home] = True
-                at, cell = np.nonzero(goes)
-                part = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([part.column(6), pa.array(cell.astype(np.int32)), pa.array(cell == home[at]), part.column(0), part.column(1), part.column(4)], SENT.names)
-
-    sent = placed.join(radii, "group").select("node", "copies", "home", "angle", "v", "radii", "group").mapInArrow(send, SENT)
-    sent = scratch.keep(sent, "sent")
-    sizes = scratch.keep(sent.groupBy("group", "cell").agg(F.count("*").alias("size")), "sizes")
+        for batch, home, at, cell in reached(batches):
+            part = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell.astype(np.int32)), pa.array(cell == home[at]), part.column(2), part.column(3), part.column(1)], sent_type.names)
+
+    asked = reached.rows(nodes.select("group", "v", "node", "copies"))
+    sizes = scratch.keep(asked.mapInArrow(count, SIZES).groupBy("group", "cell").agg(F.sum("n").alias("size")), "sizes")
     parts = F.ceil(F.col("size") / F.lit(BLOCK))
-    dealt = sent.join(sizes, ["group", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    dealt = asked.mapInArrow(send, sent_type).join(sizes, ["group", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), parts))
     blocks = dealt.groupBy("group", "cell", "at_home", "part").agg(F.collect_list(F.struct("node", "copies", "v")).alias("block"))
     blocks = scratch.keep(blocks, "blocks")
     left = blocks.where("at_home").select("group", "cell", F.col("block").alias("left"))
@@ -173,16 +191,68 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = scratch.keep(left.join(right, ["group", "cell"]).select("left", "right").mapInArrow(_compare, FOUND), "found")
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("b is not null").select("a", "b"), scratch)
-    known = nodes.select("digest", "node", "copies", "least").join(counts, "node", "left").join(components.withColumnRenamed("id", "node"), "node", "left")
+    known = nodes.select("d1", "d2", "node", "copies").join(counts, "node", "left").join(components.withColumnRenamed("id", "node"), "node", "left")
     component = F.coalesce("component_id", "node")
-    known = known.select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.when(component < NAMELESS, component).alias("component"))
+    known = known.select("d1", "d2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.when(component < NAMELESS, component).alias("component"))
     known = scratch.keep(known, "known")
-    out = rows.select("id", "digest").join(known, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
+    out = rows.join(known, ["d1", "d2"], "left")
+    component = F.when(F.col("d1").isNull(), F.col("id")).otherwise(F.col("component"))
     component = F.when(F.col("id").isNotNull(), component)
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+class _Reach:
+    """Which cells each vector is sent to: by its angles to the pivots and the radii of its group's cells.
+
+    Called with batches of (group, v, ...), gives (batch, homes, rows, cells): the
+    i-th of rows goes to the i-th of cells.  radii come from a broadcast, or, where the
+    table of cells is too large for that, with the rows as two further columns.
+    """
+
+    def __init__(self, cells: DataFrame, shared: Broadcast, few: bool):
+        self.shared, self.known = shared, None
+        if few:
+            table: dict[str, tuple[list, list]] = {}
+            for r in cells.select("group", "home", "radius").collect():  # BROADCAST_CELLS at most
+                own = table.setdefault(r["group"], ([], []))
+                own[0].append(r["home"])
+                own[1].append(r["radius"])
+            self.known = cells.sparkSession.sparkContext.broadcast({g: (np.array(h, np.int64), np.array(x)) for g, (h, x) in table.items()})
+            self.cells = None
+        else:
+            pairs = F.sort_array(F.collect_list(F.struct("home", "radius")))  # as many as there are pivots at most
+            self.cells = cells.groupBy("group").agg(pairs.alias("p")).select("group", F.transform("p", lambda x: x["home"]).alias("homes"), F.transform("p", lambda x: x["radius"]).alias("radii"))
+
+    def rows(self, rows: DataFrame) -> DataFrame:
+        return rows if self.cells is None else rows.join(self.cells, "group")
+
+    def __getstate__(self) -> dict:
+        return {"shared": self.shared, "known": self.known}
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        pivots = self.shared.value
+        for whole in batches:
+            for batch in _by_dimension(whole, 1):
+                names = batch.column(0).dictionary_encode()
+                codes = names.indices.to_numpy(zero_copy_only=False)
+                angles = _angles(_unit(_stack(batch.column(1))), pivots)
+                home = angles.argmin(axis=1)
+                own = angles[np.arange(len(home)), home]
+                at, to = [], []
+                for code, name in enumerate(names.dictionary.to_pylist()):
+                    mine = np.flatnonzero(codes == code)
+                    if self.known is not None:
+                        cells, radii = self.known.value[name]
+                    else:
+                        cells, radii = (batch.column(batch.schema.get_field_index(c)).slice(mine[0], 1).flatten().to_numpy(zero_copy_only=False) for c in ("homes", "radii"))
+                    goes = angles[np.ix_(mine, cells)] <= np.minimum(own[mine, None] + 2 * EPS, radii + EPS)
+                    goes |= cells == home[mine, None]
+                    i, j = np.nonzero(goes)
+                    at.append(mine[i])
+                    to.append(cells[j])
+                yield batch, home, np.concatenate(at), np.concatenate(to).astype(np.int64)
+
+
 def op10(vectors: DataFrame) -> DataFrame:
     """The contract's rows: vec_id, n_links, component_id, kept."""
     return near_duplicates(vectors)

@@ -138,8 +138,9 @@ def brute_vectors(rows):
     return {r[0]: (count[r[0]], comp[r[0]], comp[r[0]] == r[0]) for r in rows}
 
 
-@pytest.mark.parametrize("cell, block", [(2048, 1024), (20, 16)])
-def test_vectors_equal_brute_force(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize(("cell", "block", "cells"), [(2048, 1024, 500_000), (20, 16, 500_000), (8, 5, 0)])
+def test_vectors_equal_brute_force(spark, monkeypatch, cell, block, cells):
+    monkeypatch.setattr(embeddings, "BROADCAST_CELLS", cells)
     monkeypatch.setattr(embeddings, "CELL", cell)
     monkeypatch.setattr(embeddings, "BLOCK", block)
     rows = vectors()
@@ -150,6 +151,21 @@ def test_vectors_equal_brute_force(spark, monkeypatch, cell, block):
     assert got == brute_vectors(rows)
 
 
+def test_double_vectors_and_hot_copies(spark):
+    """Components of either width give the same links; a thousand copies are one node."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 16)).astype(np.float32)
+    rows = [(i, [float(x) for x in base[i % 40] + rng.normal(size=16).astype(np.float32) * 0.12], i % 2, "") for i in range(160)]
+    rows = [(i, [float(np.float32(x)) for x in v], label, e) for i, v, label, e in rows]
+    kind = VECTORS.replace("array<float>", "array<double>")
+    assert kind != VECTORS
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.op10(spark.createDataFrame(rows, kind)).collect()}
+    assert got == brute_vectors(rows) and any(n for n, _, _ in got.values())
+    hot = [(i, [1.0, 2.0, 3.0], 1, "") for i in range(1000)] + [(5000, [1.0, 2.0, 3.01], 1, "")]
+    got = embeddings.op10(spark.createDataFrame(hot, kind)).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(1000, 0)}
+
+
 def test_vectors_with_null_and_repeated_ids(spark):
     v, w = [1.0, 0.0], [0.0, 1.0]
     rows = [(3, v, 1, ""), (3, v, 1, ""), (None, v, 1, ""), (None, w, 1, ""), (9, [1.0, 0.01], 1, "")]
