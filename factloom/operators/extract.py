@@ -36,7 +36,11 @@ class RuleExtractor:
     def extract(self, blocks: DataFrame) -> DataFrame:
         rules = self.rules if self.rules is not None else rule_table(blocks.sparkSession)
         lines = blocks.withColumn("stripped", strip(F.col("text")))
-        hits = lines.join(F.broadcast(rules), ["category", "source_type"]).where(F.rlike(F.col("stripped"), F.concat(F.lit("(?U)"), "pattern")))
+        # Patterns are literals of the plan, each compiled once; the table of rules is of fixed size.
+        matches = F.when(F.lit(False), False)
+        for order, pattern in rules.select("rule_ord", "pattern").collect():
+            matches = matches.when(F.col("rule_ord") == order, F.rlike("stripped", F.lit(f"(?U){pattern}")))
+        hits = lines.join(F.broadcast(rules), ["category", "source_type"]).where(matches)
         key = ["product_id", "category", "src_ord", "source_id", "authority", "rule_ord"]
         said = F.struct("line_start", "line_end", "text", "stripped", "field", "pattern", "group", "step", "constant", "rule_unit", "unit_group", "rule_confidence", "method")
         # Minima are combined before the shuffle, so a long source sends one row per rule.
@@ -62,30 +66,41 @@ class RuleExtractor:
 class ModelExtractor:
     """Extraction by a model: one call per source, its answer sanitised like any other.
 
-    `call(prompt) -> json text` runs on the workers; it must be picklable.  A call
-    that raises gives no values for its source, never a failed job.
+    `call(prompt) -> json text` runs on the workers; it must be picklable.  Answers are
+    kept as a table, so each source is asked once however many stages read them.  A
+    call that raises gives no values; `failures` then has its product, source and error,
+    by which the whole plan fails that product alone.
     """
 
-    def __init__(self, call: Callable[[str], str], render: Callable[[str, str, str], str], fields: DataFrame):
-        self.call, self.render, self.fields = call, render, fields
+    def __init__(self, call: Callable[[str], str], render: Callable[[str, str, str], str], fields: DataFrame, folder: str | None = None):
+        """folder: where answers are kept; a new one that executors share where it isn't given."""
+        self.call, self.render, self.fields, self.folder = call, render, fields, folder
+        self.failures: DataFrame | None = None
 
     def extract(self, blocks: DataFrame) -> DataFrame:
         from ..sources.documents import line_numbered
+        from ..workers import shared_folder
         from .sanitize import sanitize
 
-        call, render = self.call, self.render
+        call, render, spark = self.call, self.render, blocks.sparkSession
         about = blocks.select("product_id", "source_id", "category", "src_ord", "authority").distinct()
         asked = line_numbered(blocks).join(about, ["product_id", "source_id"])
 
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                answers = []
+                answers, errors = [], []
                 for category, source, text in zip(batch["category"], batch["source_id"], batch["numbered"], strict=True):
                     try:
                         answers.append(call(render(category, source, text)))
-                    except Exception:
+                        errors.append(None)
+                    except Exception as e:
                         answers.append(None)
-                yield batch.drop(columns="numbered").assign(response=answers)
-
-        answered = asked.mapInPandas(ask, "product_id string, source_id string, category string, src_ord int, authority double, response string")
-        return sanitize(answered, self.fields)
+                        errors.append(f"{type(e).__name__}: {e}")
+                yield batch.drop(columns="numbered").assign(response=answers, error=errors)
+
+        answered = asked.mapInPandas(ask, "product_id string, source_id string, category string, src_ord int, authority double, response string, error string")
+        folder = self.folder or shared_folder(spark, "answers")
+        answered.write.mode("overwrite").parquet(folder)
+        answered = spark.read.schema(answered.schema).parquet(folder)
+        self.failures = answered.where("error is not null").select("product_id", "source_id", "error")
+        return sanitize(answered.drop("error"), self.fields)

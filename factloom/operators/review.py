@@ -26,7 +26,7 @@ class TemplateReviewer:
         """queue with kind, review and suggested_action."""
         titled = F.map_from_entries(F.collect_list(F.struct("source_id", F.struct(F.coalesce("title", "source_id").alias("title"), F.coalesce("authority", F.lit(0.8)).alias("authority")))))
         # A product's sources, deduplicated by id, as one small map.
-        named = sources.select("product_id", "source_id", "title", "authority").dropDuplicates(["product_id", "source_id"]).groupBy("product_id").agg(titled.alias("about"))
+        named = sources.where("source_id is not null").select("product_id", "source_id", "title", "authority").dropDuplicates(["product_id", "source_id"]).groupBy("product_id").agg(titled.alias("about"))
         rows = queue.join(named, "product_id", "left")
 
         def called(s):

@@ -62,8 +62,12 @@ def run(sources: DataFrame, categories: Iterable[Category] | None = None, extrac
     categories = list(categories) if categories is not None else None
     fields = field_table(spark, categories)
     lines = blocks(sources)
-    observed = (extractor or RuleExtractor(rule_table(spark, categories))).extract(lines)
-    observed = keep("observations", observed)
+    extractor = extractor or RuleExtractor(rule_table(spark, categories))
+    observed = keep("observations", extractor.extract(lines))
+    failures = getattr(extractor, "failures", None)
+    if failures is not None:
+        told = failures.withColumnRenamed("error", "told")
+        sources = sources.join(told, ["product_id", "source_id"], "left").withColumn("error", F.coalesce("error", "told")).select(*sources.columns)
     normalized = normalize(observed, fields)
     fused = keep("fused", fuse(normalized))
     checks = check_rules(fused, categories)

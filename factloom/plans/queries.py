@@ -34,8 +34,8 @@ from ..registry.tables import RULE_SCHEMA, field_table, rule_table
 from ..registry.validation_rules import ERROR, WARNING, Rule
 from ..sources.documents import SOURCES, blocks, html_text, line_numbered, split_lines, strip_tags
 from ..sources.manifests import from_payloads, synthetic
-from ..workers import reach_package
-from .fusion import FusionResult
+from ..workers import reach_package, shared_folder
+from .fusion import FusionResult, tables_in
 from .fusion import run as run_fusion
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -462,7 +462,7 @@ def payload_rejections(spark, sf_dir):
 
 
 def _part_run(spark: SparkSession, sf_dir: str) -> FusionResult:
-    return run_fusion(from_payloads(_payloads(spark, sf_dir))[0])
+    return run_fusion(from_payloads(_payloads(spark, sf_dir))[0], keep=tables_in(shared_folder(spark, "fusion")))
 
 
 _MISSING = "power_kw, rated_voltage, rated_current, rated_speed, efficiency, frequency, frame_size, insulation_class, mounting"
@@ -520,7 +520,7 @@ def upsert(spark, sf_dir):
 SELECT pn || CASE WHEN r // 12 = 0 THEN '' ELSE '-' || (r // 12 + 1) END AS product_id, r AS product_ord, 'ok' AS status, (14 - CASE WHEN w < 0.1 THEN 1 ELSE 0 END)::BIGINT AS verified, (1 + CASE WHEN w < 0.1 THEN 1 ELSE 0 END)::BIGINT AS needs_review, 0::BIGINT AS conflicts, 13::BIGINT AS rules_run FROM (SELECT row_number() OVER () - 1 AS r FROM part) JOIN s ON i = r % 12""")
 def synthetic_catalog(spark, sf_dir):
     """As many generated products as there are parts, through the whole plan."""
-    rows = run_fusion(synthetic(spark, _t(spark, sf_dir, "part").count())).catalog
+    rows = run_fusion(synthetic(spark, _t(spark, sf_dir, "part").count()), keep=tables_in(shared_folder(spark, "fusion"))).catalog
     return rows.select("product_id", "product_ord", "status", "verified", "needs_review", "conflicts", "rules_run")
 
 

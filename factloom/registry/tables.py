@@ -45,5 +45,5 @@ RULE_SCHEMA = "category string, source_type string, rule_ord int, field string,
 def rule_table(spark: SparkSession, of: Iterable[Category] | None = None) -> DataFrame:
     """Extraction rules whose field its category has."""
     known = {(c.name, f.name) for c in (of if of is not None else categories.builtin()) for f in c.fields}
-    rows = [(r.category, r.source_type, r.order, r.field, r.group, r.step, r.constant, r.unit, r.unit_group, r.confidence, r.method, r.pattern) for r in extraction_rules.builtin() if (r.category, r.field) in known]
+    rows = [(r.category, r.source_type, order, r.field, r.group, r.step, r.constant, r.unit, r.unit_group, r.confidence, r.method, r.pattern) for order, r in enumerate(extraction_rules.builtin()) if (r.category, r.field) in known]
     return spark.createDataFrame(rows, RULE_SCHEMA)

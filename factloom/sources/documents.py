@@ -152,7 +152,8 @@ def pdf_tables(files: DataFrame) -> DataFrame:
     """Blocks of binary PDF files (path, content): each table row is one block.
 
     Needs the optional library pdfplumber on the workers; without it each file
-    gives one row whose error says to provide the extracted text instead.
+    gives one row whose error says to provide the extracted text instead, as does a file
+    that can't be opened.
     """
     schema = "path string, line_start int, line_end int, text string, meta string, error string"
 
@@ -169,15 +170,15 @@ def pdf_tables(files: DataFrame) -> DataFrame:
                 if pdfplumber is None:
                     rows.append((path, None, None, None, None, "pdfplumber is not installed; provide the PDF as extracted text"))
                     continue
-                n = 0
-                with pdfplumber.open(io.BytesIO(content)) as pdf:
-                    for p, page in enumerate(pdf.pages, 1):
-                        for t, table in enumerate(page.extract_tables() or [], 1):
-                            for r, row in enumerate(table, 1):
-                                cells = [str(c).strip() for c in row if c is not None and str(c).strip()]
-                                if cells:
-                                    n += 1
-                                    rows.append((path, n, n, "  |  ".join(cells), f"p{p}/t{t}/r{r}", None))
+                try:
+                    with pdfplumber.open(io.BytesIO(content)) as pdf:
+                        tables = [(p, t, r, row) for p, page in enumerate(pdf.pages, 1) for t, table in enumerate(page.extract_tables() or [], 1) for r, row in enumerate(table, 1)]
+                except Exception as e:
+                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                said = [(p, t, r, [str(c).strip() for c in row if c is not None and str(c).strip()]) for p, t, r, row in tables]
+                said = [x for x in said if x[3]]
+                rows += [(path, n, n, "  |  ".join(cells), f"p{p}/t{t}/r{r}", None) for n, (p, t, r, cells) in enumerate(said, 1)]
             yield pd.DataFrame(rows, columns=["path", "line_start", "line_end", "text", "meta", "error"])
 
     return files.select("path", "content").mapInPandas(read, schema)

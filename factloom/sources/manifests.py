@@ -9,11 +9,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import plain_number, slug, strip
 from ..registry import categories as registry
 from ..registry.categories import Category
-from .documents import DEFAULT_AUTHORITY, SOURCES
+from .documents import DEFAULT_AUTHORITY, SOURCES, pdf_tables
 
 # Authority and title of a source by its type
 AUTHORITY = {"pdf": 0.95, "web": 0.85, "ocr": 0.70}
@@ -27,17 +28,25 @@ def resolve(path: str, *bases: str) -> str:
     return next((os.path.join(b, path) for b in bases if os.path.exists(os.path.join(b, path))), os.path.join(bases[0], path))
 
 
+# What a catalog's product has where it names none
+DEFAULT_SCHEMA, DEFAULT_OUTPUT = "schema/bearing_schema.json", "output/{}_product.json"
+
+
 def read_catalog(path: str, root: str = ".") -> list[dict]:
     """A catalog document's products with their manifests read; what can't be read is an error there.
 
-    Manifests are small control files, so the driver reads them; the documents that
-    they name are read by Spark.
+    A product's id defaults to its manifest's stem, its output and schema as stated
+    above.  Products that fail keep the catalog's id, the others have their manifest's.
+    Manifests named by a catalog are small control files, so the driver reads them; the
+    documents that they name are read by Spark.  For manifests by the million see
+    `sources_in`.
     """
     catalog = json.loads(Path(path).read_text(encoding="utf-8"))
     base, out = os.path.dirname(os.path.abspath(path)), []
-    for p in catalog["products"]:
+    for p in catalog.get("products", []):
         manifest = resolve(p["manifest"], root, base)
-        entry = {"product_id": p.get("product_id") or Path(manifest).parent.name, "schema": resolve(p["schema"], root, base) if p.get("schema") else None}
+        product = p.get("product_id") or Path(p["manifest"]).stem
+        entry = {"product_id": product, "schema": resolve(p.get("schema") or DEFAULT_SCHEMA, root, base), "output": resolve(p.get("output") or DEFAULT_OUTPUT.format(product), root, base)}
         try:
             got = json.loads(Path(manifest).read_text(encoding="utf-8"))
             out.append({**entry, **got, "error": None})
@@ -46,6 +55,13 @@ def read_catalog(path: str, root: str = ".") -> list[dict]:
     return out
 
 
+def with_outputs(catalog: DataFrame, entries: Iterable[dict]) -> DataFrame:
+    """Catalog rows whose output is the one that read_catalog gave their product."""
+    table = catalog.sparkSession.createDataFrame([(i, e["output"]) for i, e in enumerate(entries)], "product_ord bigint, named string")
+    rows = catalog.join(F.broadcast(table), "product_ord", "left")  # a row per product of a catalog document
+    return rows.select(*[F.coalesce("named", "output").alias("output") if c == "output" else c for c in catalog.columns])
+
+
 def catalog_info(path: str) -> tuple[str, str]:
     """(catalog id, name) of a catalog document; the id defaults to the file's stem, the name to the id."""
     catalog = json.loads(Path(path).read_text(encoding="utf-8"))
@@ -66,23 +82,61 @@ def sources_of(spark: SparkSession, manifests: Iterable[dict], root: str = ".")
     """`sources` of product manifests; documents are read by Spark as whole texts.
 
     A document that isn't there gives a row with an error, and its product fails
-    alone.  Binary PDFs are left to documents.pdf_tables.
+    alone.  Rows of tables of binary PDF files become lines of text; where the library
+    for that is missing, their product fails with an error that says what to do.
+    Paths stay as the manifest states them.
     """
     rows = []
     for product_ord, m in enumerate(manifests):
         if m.get("error"):
-            rows.append((m["product_id"], m.get("category"), product_ord, 0, None, None, None, None, None, None, m["error"]))
+            rows.append((m["product_id"], m.get("category"), product_ord, 0, None, None, None, None, None, None, m["error"], None))
         for i, s in enumerate(m.get("sources", [])):
-            path = resolve(s["path"], root)
-            missing = None if "://" in path or os.path.exists(path) else f"FileNotFoundError: {s['path']}"
-            rows.append((m["product_id"], m["category"], product_ord, i, s["id"], s["type"], s.get("title", s["id"]), float(s.get("authority", DEFAULT_AUTHORITY)), path, None, missing))
-    table = spark.createDataFrame(rows, SOURCES)
-    paths = sorted({r[8] for r in rows if r[8] and not r[10]})
+            rows.append((m["product_id"], m["category"], product_ord, i, s["id"], s["type"], s.get("title", s["id"]), float(s.get("authority", DEFAULT_AUTHORITY)), s["path"], None, None, resolve(s["path"], root)))
+    table = spark.createDataFrame(rows, T.StructType([*SOURCES.fields, T.StructField("found", T.StringType())]))
+    return _read(table, sorted({r[11] for r in rows if r[11] and ("://" in r[11] or os.path.exists(r[11]))}))
+
+
+MANIFEST = "product_id string, category string, sources array<struct<id:string,type:string,title:string,path:string,authority:double>>, _corrupt_record string"
+
+
+def sources_in(spark: SparkSession, manifests: str, documents: str, root: str) -> DataFrame:
+    """`sources` of all manifests under a path or pattern, with the documents under another; nothing passes through the driver.
+
+    Relative paths are under root.  Products are ordered by their manifests' names.  A
+    manifest that can't be parsed, and a document that isn't among those read, are
+    errors of their product alone.
+    """
+    m = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").json(manifests).withColumn("file", F.input_file_name())
+    m = m.withColumn("product_ord", F.xxhash64("file"))  # any order that is the same in every run
+    stem = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
+    broken = F.when(F.col("_corrupt_record").isNotNull() | F.col("category").isNull(), F.concat(F.lit("ValueError: no manifest: "), "file"))
+    rows = m.withColumn("broken", broken).select(F.coalesce("product_id", stem).alias("product_id"), "category", "product_ord", "broken", F.posexplode_outer("sources").alias("src_ord", "s"))
+    path = F.col("s.path")
+    rows = rows.select(
+        "product_id", "category", "product_ord", F.coalesce("src_ord", F.lit(0)).alias("src_ord"), F.col("s.id").alias("source_id"), F.col("s.type").alias("source_type"), F.coalesce("s.title", "s.id").alias("title"),
+        F.coalesce("s.authority", F.lit(DEFAULT_AUTHORITY)).alias("authority"), path.alias("path"), F.lit(None).cast("string").alias("raw_text"), F.col("broken").alias("error"),
+        F.when(path.startswith("/") | path.contains("://"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)).alias("found"),
+    )
+    return _read(rows, [documents])
+
+
+def _read(table: DataFrame, paths: list[str]) -> DataFrame:
+    """sources with the text of the document at `found`, or the error that keeps it from being read."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    missing = F.when(F.col("path").isNotNull(), F.concat(F.lit("FileNotFoundError: "), "path"))
     if not paths:
-        return table
-    texts = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("found"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
-    read = table.join(texts, F.regexp_replace("path", "^file:/+", "/") == F.col("found"), "left")
-    return read.select(*[c for c in SOURCES.names if c not in ("raw_text", "error")], F.col("body").alias("raw_text"), "error")
+        return table.withColumn("error", F.coalesce("error", missing)).select(*SOURCES.names)
+    spark = table.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(plain("path").alias("at"), "path", "content")
+    pdf = F.lower("at").endswith(".pdf")
+    texts = files.where(~pdf).select("at", F.make_valid_utf8(F.col("content").cast("string")).alias("body"), F.lit(None).cast("string").alias("failed"))
+    cells = pdf_tables(files.where(pdf).select(F.col("at").alias("path"), "content")).groupBy(F.col("path").alias("at"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("line_start", "text"))), lambda r: r["text"])  # a document's own rows
+    texts = texts.unionByName(cells.agg(F.concat_ws("\n", lines).alias("body"), F.max("error").alias("failed")))
+    read = table.join(texts, plain("found") == F.col("at"), "left")
+    # A PDF without tables is read, and empty; what isn't among the files is missing.
+    error = F.coalesce("error", "failed", F.when(F.col("at").isNull(), missing))
+    return read.select(*[c for c in SOURCES.names if c not in ("raw_text", "error")], F.col("body").alias("raw_text"), error.alias("error"))
 
 
 def from_payloads(payloads: DataFrame, of: Iterable[Category] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,12 @@
-"""Python workers: let them import this package where it isn't installed for them."""
+"""What driver and executors share: this package for Python workers, and a folder for tables."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,3 +20,16 @@ def reach_package(spark: SparkSession) -> None:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *have])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, else a temporary one of a local session."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        found = f"file://{local}"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from factloom.operators.fuse import conversion_diff, fuse, fuse_numbers
 from factloom.operators.normalize import normalize
 from factloom.operators.record import record_json
 from factloom.operators.review import ModelReviewer
-from factloom.operators.sanitize import answer_schema, render_prompt, sanitize
+from factloom.operators.sanitize import PromptTemplate, answer_schema, sanitize
 from factloom.plans.fusion import run, tables_in
 from factloom.registry.categories import Category
 from factloom.registry.tables import field_table, rule_table
@@ -227,15 +227,22 @@ def test_model_extractor(spark):
 
     result = run(sources, extractor=ModelExtractor(call, lambda category, source, text: text, field_table(spark)), mode="fake")
     assert [(r["field"], r["display"]) for r in result.fused.collect()] == [("width", "15")]
+    row = result.catalog.first()
+    assert (row["status"], row["error"]) == ("failed", "RuntimeError: no answer") and result.records.count() == 0
 
 
 def test_prompt_and_schema():
-    template = "<!-- VARIANT: system -->\nBe exact.\n<!-- /VARIANT -->\n<!-- VARIANT: pdf -->\nRead {{ source_text }} for {{other}}.\n<!-- /VARIANT -->"
-    assert render_prompt(template, "pdf", {"source_text": "X"}) == "Be exact.\n\nRead X for {{other}}."
+    template = PromptTemplate("For readers only.\n<!-- VARIANT: system -->\nBe exact.\n<!-- /VARIANT -->\n<!-- VARIANT: pdf -->\nRead {{ source_text }} for {{other}}, {{ not closed.\n<!-- /VARIANT -->")
+    assert template.render("pdf", {"source_text": "X {{y}}", "y": 1}) == "Be exact.\n\nRead X {{y}} for {{other}}, {{ not closed."
     with pytest.raises(ValueError):
-        render_prompt(template, "web", {})
+        template.render("web", {})
     schema = answer_schema(["a", "b"])
-    assert schema["properties"]["fields"]["items"]["required"] == ["field", "value", "confidence", "method", "snippet", "line_start", "line_end"]
+    item = schema["properties"]["fields"]["items"]
+    assert schema["required"] == ["fields"] and schema["additionalProperties"] is False and item["additionalProperties"] is False
+    assert item["required"] == ["field", "value", "confidence", "method", "snippet", "line_start", "line_end"]
+    assert item["properties"]["field"] == {"type": "string", "description": "One of: a, b"} and item["properties"]["unit"] == {"type": ["string", "null"]}
+    assert item["properties"]["confidence"] == {"type": "number", "minimum": 0, "maximum": 1} and item["properties"]["method"]["enum"] == ["table_parse", "llm_inference", "ocr_heuristic"]
+    assert item["properties"]["reasoning"] == {"type": "string"} and item["properties"]["line_end"] == {"type": "integer"}
 
 
 def test_lines_and_pages(spark):
