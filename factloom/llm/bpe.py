@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 NONE = np.int64(1 << 40)
 #: Distinct words a worker remembers before it starts anew; bounds its memory.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text worked on at once.
 CHUNK_BYTES = 2_000_000
 
