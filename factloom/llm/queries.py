@@ -17,6 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each, by its source's target."""
     return mixing.op5(_table(spark, sf_dir, "documents"))
 
 
@@ -35,38 +36,47 @@ def ranks_path() -> str:
 
 
 def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: each document's set size, component and whether it stays."""
     return minhash.op1(_table(spark, sf_dir, "documents"))
 
 
 def op2_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after three edits of every document, from kept trees."""
     return editcount.op2(_table(spark, sf_dir, "documents"), bpe_path())
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every text and its calibrated confidence."""
     return langid.op3(_table(spark, sf_dir, "documents"))
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded: number of ids and digests of both."""
     return bpe.op4(_table(spark, sf_dir, "documents"), bpe_path())
 
 
 def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every twentieth document."""
     return bm25.op6(_table(spark, sf_dir, "documents"))
 
 
 def op7_packed_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as packed rows of ids, with their segments and digests."""
     return packing.op7(_table(spark, sf_dir, "documents"), ranks_path())
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's probability of being of good quality."""
     return quality.op8(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record and how a damaged replica holds it."""
     return merkle.op9(_table(spark, sf_dir, "pages"))
 
 
 def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors: each one's number of links, component and whether it stays."""
     return embeddings.op10(_table(spark, sf_dir, "embeddings"))
 
 
