@@ -26,6 +26,11 @@ def catalog_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("products"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), *[F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).alias(c) for c in COUNTERS])
 
 
+def published(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """(product_id, category, json) of the products that didn't fail: their records by product."""
+    return records.join(rows.where("status = 'ok'").select("product_id"), "product_id", "left_semi")
+
+
 def upsert(index: DataFrame, batch: DataFrame, key: str = "product_id", order: str = "product_ord") -> DataFrame:
     """index without the batch's products, and the batch after it: replaced products move to the end."""
     last = index.agg(F.coalesce(F.max(order), F.lit(-1)).alias("last"))

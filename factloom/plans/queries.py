@@ -505,6 +505,14 @@ def record_documents(spark, sf_dir):
         got("$.fields[3].value").alias("weight"), F.when(got("$.fields[3].status") == "verified", got("$.fields[3].sources[0].snippet")).alias("snippet"), got("$.summary.verified").alias("verified"), got("$.fields[0].confidence").alias("sure"))
 
 
+@query(f"WITH {CATALOG} SELECT product_id, 'electric_motor' AS category, verified::VARCHAR AS verified FROM rows")
+def published_records(spark, sf_dir):
+    """The records of products that didn't fail, by product."""
+    result = _part_run(spark, sf_dir)
+    rows = catalog_ops.published(result.catalog, record_json(result.records))
+    return rows.select("product_id", "category", F.get_json_object("json", "$.summary.verified").alias("verified"))
+
+
 @query("""WITH batch AS (SELECT p_partkey, p_retailprice * 2 AS price FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey + 1000000, p_retailprice FROM part WHERE p_partkey % 100 = 0)
 SELECT p_partkey, p_retailprice AS price, p_partkey AS product_ord FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM batch) UNION ALL SELECT p_partkey, price, p_partkey + (SELECT max(p_partkey) FROM part) + 1 FROM batch""")
 def upsert(spark, sf_dir):

@@ -1,4 +1,6 @@
 import json
+import urllib.error
+import urllib.request
 
 import pytest
 
@@ -10,6 +12,7 @@ from factloom.plans.fusion import run
 from factloom.registry.tables import field_table
 from factloom.sources.manifests import catalog_info, categories_of, read_catalog, synthetic
 from factloom.sources.sinks import catalog_index, read_table, summary, write_catalog_csv, write_records, write_sources
+from factloom.streaming.gateway import ROUTE, Gateway
 from factloom.streaming.ingest import latest, start
 
 
@@ -70,3 +73,28 @@ def test_source_tables(spark, tmp_path):
     write_sources(synthetic(spark, 2), str(tmp_path / "bronze"))
     write_sources(synthetic(spark, 1), str(tmp_path / "bronze"))
     assert read_table(spark, str(tmp_path / "bronze")).count() == 9
+
+
+def test_ingest_over_http(spark, tmp_path):
+    server = Gateway(spark, str(tmp_path / "served")).serve()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def post(body, route=ROUTE):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + route, body, method="POST")) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    put = lambda product, mass: post(json.dumps({"product_id": product, "category": "electric_motor", "sources": [{"type": "pdf", "text": f"Mass {mass} kg"}]}).encode())
+    try:
+        assert post(b"not json")[0] == post(b"[1]")[0] == 400 and post(b"{}", "/api/other")[0] == 404
+        status, got = post(json.dumps({"product_id": "p", "category": "toaster", "sources": [{"text": "x"}]}).encode())
+        assert status == 500 and got["ok"] is False and "unknown category 'toaster'" in got["error"]
+        status, got = put("p", 62)
+        assert status == 200 and got["record"]["fields"][0]["value"] == 62 and got["products"] == ["p"]
+        assert put("q", 5)[1]["products"] == ["p", "q"]
+        status, got = put("p", 70)
+        assert got["record"]["fields"][0]["value"] == 70 and got["products"] == ["p", "q"] and got["totals"]["products"] == 2
+    finally:
+        server.shutdown()

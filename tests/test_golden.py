@@ -8,6 +8,7 @@ from factloom.operators.catalog import catalog_totals
 from factloom.operators.record import record_json
 from factloom.plans.fusion import run
 from factloom.sources.manifests import categories_of, read_catalog, sources_in, sources_of, with_outputs
+from factloom.sources.sinks import catalog_report, product_reports
 
 
 def page(heading, text, *rows):
@@ -153,6 +154,17 @@ def test_reviews_of_the_bearing(records):
     assert [(s["value"], s["unit"]) for s in torque["sources"]] == [("450", "N·m"), ("332", "ft-lb"), ("450", "Nm")]
 
 
+def test_reports(result):
+    text = {r["product_id"]: r["report"].split("\n") for r in product_reports(result.records).collect()}
+    bearing = text["6205-2RS"]
+    assert bearing[:2] == ["6205-2RS  Deep groove ball bearing  (mock)", "13 verified, 2 to review, 1 conflicts; 12 rules run, passed: true; not found: material"]
+    assert "Max speed                  13000 rpm / 12000 rpm  0.40  NEEDS_REVIEW" in bearing and "Weight                     0.127 kg            0.86  VERIFIED" in bearing
+    assert "  - [conflict] Max speed: " + QUEUE["6205-2RS"][0][1] in bearing and bearing[-1] == "Review: " + REVIEWS["6205-2RS"]
+    assert "To review:" not in text["V2000-BS"] and "Description: " + COPY["V2000-BS"] in text["V2000-BS"]
+    lines = [r["line"] for r in catalog_report(result.catalog).orderBy("product_ord").collect()]
+    assert lines[0] == "6205-2RS      Deep groove ball bearing      13    2    1  ok" and len(lines) == 4
+
+
 def test_catalog(result, folder):
     t = catalog_totals(result.catalog).first()
     assert (t["products"], t["ok"], t["failed"], t["verified"], t["needs_review"], t["conflicts"], t["rules_run"]) == (4, 4, 0, 46, 3, 2, 48)
