@@ -36,11 +36,14 @@ class RuleExtractor:
     def extract(self, blocks: DataFrame) -> DataFrame:
         rules = self.rules if self.rules is not None else rule_table(blocks.sparkSession)
         lines = blocks.withColumn("stripped", strip(F.col("text")))
-        # Patterns are literals of the plan, each compiled once; the table of rules is of fixed size.
-        matches = F.when(F.lit(False), False)
-        for order, pattern in rules.select("rule_ord", "pattern").collect():
-            matches = matches.when(F.col("rule_ord") == order, F.rlike("stripped", F.lit(f"(?U){pattern}")))
-        hits = lines.join(F.broadcast(rules), ["category", "source_type"]).where(matches)
+        # Patterns are literals of the plan, each compiled once; a line meets the rules of its own kind of source only.
+        by_kind: dict[tuple[str, str], list[Column]] = {}
+        for r in rules.select("category", "source_type", "rule_ord", "pattern").collect():  # the registry: of fixed size
+            by_kind.setdefault((r["category"], r["source_type"]), []).append(F.when(F.rlike("stripped", F.lit(f"(?U){r['pattern']}")), F.lit(r["rule_ord"])))
+        matched = F.when(F.lit(False), F.array().cast("array<int>"))
+        for (category, kind), found in by_kind.items():
+            matched = matched.when((F.col("category") == category) & (F.col("source_type") == kind), F.array_compact(F.array(*found)))
+        hits = lines.withColumn("rule_ord", F.explode(matched)).join(F.broadcast(rules), ["category", "source_type", "rule_ord"])
         key = ["product_id", "category", "src_ord", "source_id", "authority", "rule_ord"]
         said = F.struct("line_start", "line_end", "text", "stripped", "field", "pattern", "group", "step", "constant", "rule_unit", "unit_group", "rule_confidence", "method")
         # Minima are combined before the shuffle, so a long source sends one row per rule.
