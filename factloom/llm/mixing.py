@@ -26,32 +26,56 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch) -> DataFrame:
+    """rows with the sum of each expression up to and with the row, in an order without ties, and over all rows.
+
+    Few rows are one window's.  Beyond that, ranges of the order are summed on their own,
+    and each is raised by the totals of those before it: one row per range then is.
+    """
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    every = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if rows.count() <= BROADCAST_SOURCES:
+        whole = Window.orderBy(*order)
+        return rows.select("*", *[F.sum(e).over(upto(whole)).alias(f"{k}_upto") for k, e in sums.items()], *[F.sum(e).over(every(whole)).alias(f"{k}_all") for k, e in sums.items()])
+    ranged = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    ranged = scratch.keep(ranged.select("*", *[e.alias(f"{k}_one") for k, e in sums.items()]), "ranged")
+    totals = ranged.groupBy("range").agg(*[F.sum(f"{k}_one").alias(k) for k in sums])
+    by_range = Window.orderBy("range")
+    before = totals.select("range", *[(F.sum(k).over(upto(by_range)) - F.col(k)).alias(f"{k}_before") for k in sums], *[F.sum(k).over(every(by_range)).alias(f"{k}_all") for k in sums])
+    own = Window.partitionBy("range").orderBy(*order)
+    inside = ranged.select("*", *[F.sum(f"{k}_one").over(upto(own)).alias(f"{k}_own") for k in sums])
+    joined = inside.join(F.broadcast(before), "range")  # a row per range, of which there are as many as shuffle partitions
+    return joined.select(*rows.columns, *[(F.col(f"{k}_own") + F.col(f"{k}_before")).alias(f"{k}_upto") for k in sums], *[f"{k}_all" for k in sums])
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
     """(source, source_size, target) of sized(source, size), one row per source.
 
     The targets that stop at `most` times the size and share the rest by weight
     are least(most * size, level * weight).  With sources in order of
     most * size / weight, those below the level come first, so a running sum gives
-    the level directly; nothing is iterated.  The two windows without partition
-    run over one row per source, never over documents.
+    the level directly; nothing is iterated, and documents are summed before any order.
     """
-    n = len(weights)
-    per = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % n + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    upto, everything = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.sum("cap").over(upto) - F.col("cap")
-    rest = F.sum("weight").over(everything) - (F.sum("weight").over(upto) - F.col("weight"))
-    total = F.sum("source_size").over(everything).cast("double")
+    scratch, n = Scratch(sized.sparkSession, "targets"), len(weights)
+    per = scratch.keep(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sizes")
+    by_name = [F.col("source").isNull(), F.col("source")]
+    per = _running(per, by_name, {"rank": F.lit(1).cast("long")}, scratch)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank_upto") - 1) % n + 1).cast("int"))
+    per = per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    per = scratch.keep(per, "weights")
+    # Sizes are whole numbers: their sums are exact, and so are those of whole caps.
+    sums = {"cap": F.col("cap"), "weight": F.col("weight"), "size": F.col("source_size")}
+    per = _running(per, [F.col("cap") / F.col("weight"), *by_name], sums, scratch)
     # The level if exactly the sources before this one stop at their caps; it is
     # the true one for the first source that this level doesn't take over its cap.
-    level = (total - before) / rest
-    per = per.withColumn("level", level)
+    rest = F.col("weight_all") - (F.col("weight_upto") - F.col("weight"))
+    level = (F.col("size_all").cast("double") - (F.col("cap_upto") - F.col("cap"))) / rest
+    per = scratch.keep(per.withColumn("level", level), "levels")
     fits = F.col("level") * F.col("weight") <= F.col("cap")
-    true_level = F.min(F.when(fits, F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("l")))).over(everything)["l"]
-    per = per.withColumn("true_level", true_level)
+    # Sources of one ratio come in the order of the sums: the first that fits, not the least level.
+    order = F.struct(F.col("cap") / F.col("weight"), *by_name, F.col("level").alias("l"))
+    true_level = per.agg(F.min(F.when(fits, order)).alias("m")).select(F.col("m.l").alias("true_level"))
+    per = per.crossJoin(F.broadcast(true_level))  # one row
     target = F.least(F.col("cap"), F.coalesce(F.col("true_level") * F.col("weight"), F.col("cap")))
     return per.select("source", "source_size", target.alias("target"))
 
