@@ -45,8 +45,8 @@ LONGS = -(-PERMUTATIONS // PER_LONG)
 PERCENT = 75
 #: 5.5 standard deviations of the estimate below the threshold.
 MARGIN = 0.20
-#: Members of a bucket compared at once in step 5.
-BLOCK = 256
+#: Members of a bucket compared at once in step 5, and bytes of their bitmaps (four a shingle at most).
+BLOCK, BLOCK_BYTES = 256, 8_000_000
 CACHE_WORDS = 100_000
 #: Ids (8 bytes each) up to which a list of documents is broadcast.
 BROADCAST_IDS = 1_000_000
@@ -284,8 +284,8 @@ def _rest_of_buckets(members: DataFrame, components: DataFrame, sigs: DataFrame,
     """Likely pairs of members(key, node, hub, size) that no star has compared.
 
     A bucket is worked on if some member isn't in its hub's component.  Its members
-    but for the hub are dealt into blocks of about BLOCK; blocks of members outside
-    the hub's component meet all blocks.
+    but for the hub are dealt into blocks of about BLOCK members or BLOCK_BYTES,
+    whichever is less; blocks of members outside the hub's component meet all blocks.
     """
     label = components.select(F.col("id").alias("node"), F.col("component_id").alias("component"))
     known = scratch.keep(sigs.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "known")
@@ -294,12 +294,13 @@ def _rest_of_buckets(members: DataFrame, components: DataFrame, sigs: DataFrame,
     placed = scratch.keep(placed.join(of_hub, "hub"), "placed")
     outside = F.col("component") != F.col("hub_component")
     # A bucket whose other members all lie outside in one component is done, too.
-    span = placed.groupBy("key").agg(F.max(outside).alias("open"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    open_keys = scratch.keep(span.where("open and c0 <> c1").select("key"), "open")
-    parts = F.ceil(F.col("size") / F.lit(BLOCK))
-    placed = scratch.keep(placed.join(open_keys, "key", "left_semi"), "placed")
+    load = F.ceil(F.sum("n") * F.lit(4) / F.lit(BLOCK_BYTES))
+    parts = F.greatest(F.ceil(F.max("size") / F.lit(BLOCK)), load)
+    span = placed.groupBy("key").agg(F.max(outside).alias("open"), F.min("component").alias("c0"), F.max("component").alias("c1"), parts.alias("parts"))
+    open_keys = scratch.keep(span.where("open and c0 <> c1").select("key", "parts"), "open")
+    placed = scratch.keep(placed.join(open_keys, "key"), "placed")
     bitmaps = scratch.keep(texts.some(scratch.keep(placed.select("node").distinct(), "nodes")).select("node", "text").mapInArrow(_bitmaps, BITMAPS), "bitmaps")
-    placed = placed.join(bitmaps, "node").withColumn("part", F.struct(outside.alias("out"), F.pmod(F.xxhash64("node"), parts).alias("at")))
+    placed = placed.join(bitmaps, "node").withColumn("part", F.struct(outside.alias("out"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("at")))
     member = F.struct("node", "component", "n", "sig", "bitmap")
     blocks = scratch.keep(placed.groupBy("key", "part").agg(F.collect_list(member).alias("block")), "blocks")
     left = blocks.where("part.out").select("key", F.col("part").alias("p"), F.col("block").alias("left"))
