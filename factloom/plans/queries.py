@@ -630,7 +630,7 @@ def sanitize_answers(spark, sf_dir):
     return sanitize(asked, field_table(spark)).select(_key(), "field", "value", "unit", "confidence", "method")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'weight' ELSE 'brand' END AS field, CASE l_returnflag WHEN 'A' THEN l_quantity * 0.453592::DOUBLE END AS key_num, CASE l_returnflag WHEN 'N' THEN lower(l_linestatus) END AS key_str FROM lineitem WHERE l_returnflag IN ('A', 'N')")
+@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'weight' ELSE 'brand' END AS field, CASE l_returnflag WHEN 'A' THEN round(l_quantity * 0.453592::DOUBLE, 6) END AS key_num, CASE l_returnflag WHEN 'N' THEN lower(l_linestatus) END AS key_str FROM lineitem WHERE l_returnflag IN ('A', 'N')")
 def known_field_semi(spark, sf_dir):
     """Only known fields, with their keys."""
     said = {"A": ("weight", F.col("l_quantity").cast("string"), "lb"), "N": ("brand", F.col("l_linestatus"), None), "R": ("colour", F.lit("red"), None)}
