@@ -7,7 +7,8 @@ source_id, source_type (pdf, web, ocr), title, authority, path, raw_text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
 
@@ -124,16 +125,19 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unescape(x))
 
 
-def strip_tags(html: Column) -> Column:
+def strip_tags(html: Column, references: Mapping[str, str] | None = None) -> Column:
     """Page text without a parser: every cell on a line of its own.
 
     Cheaper than html_text, but label and value of a table row come apart, so the
-    extraction rules don't match such rows.
+    extraction rules don't match such rows.  Every character reference becomes its
+    character, as HTML reads them (some without their semicolon); with references only
+    those, as they are written, one after the other.
     """
     x = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>", " ")
     x = F.regexp_replace(x, r"(?i)</(tr|td|th|p|div|li|h[1-6])>", "\n")
     x = F.regexp_replace(x, "<[^>]+>", " ")
-    return F.regexp_replace(unescaped(x), "[ \t]+", " ")
+    x = unescaped(x) if references is None else reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), references.items(), x)
+    return F.regexp_replace(x, "[ \t]+", " ")
 
 
 def blocks(sources: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from html import unescape
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.plans import queries as q
+from factloom.sources.documents import strip_tags
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +36,22 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert tidy(df.select(*columns).collect()) == tidy(want.select(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+def test_references_without_semicolon_stay(spark, tmp_path):
+    """A page's text is what its SQL gives where a reference is cut off, nested, or of no known name."""
+    pages = [(1, "<h1>a &amp; b&amp</h1>"), (2, "&amp;lt; &lt;b&gt; &am &copy &nbsp;x &eacute; &#39;"), (3, "<p>&quot;x&quot;</p>&middot;"), (4, None)]
+    spark.createDataFrame(pages, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = [tuple(r) for r in q.queries()["html_stripped"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.sql(q.oracle_sql()["html_stripped"]).fetchall())
+    assert dict(got)[1] == " a & b&amp\n"
+
+
+def test_every_reference(spark):
+    """Left to itself, stripping reads references as HTML does."""
+    assert spark.createDataFrame([("&eacute;&#39;&amp &amp;lt;",)], "h string").select(strip_tags(F.col("h"))).first()[0] == "é'& &lt;"
+
+
 def test_entry(spark):
     import __spark_entry__
 
