@@ -1,4 +1,4 @@
-"""What driver and executors share: this package for Python workers, and a folder for tables."""
+"""What driver and executors share: this package for Python workers, a folder for tables, and how rows are dealt out."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -33,3 +33,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         found = f"file://{local}"
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def dealt(rows: DataFrame, key: str, each: int, number: int | None = None) -> DataFrame:
+    """rows by hash of the key over as many partitions as `number` of them needs, about `each` in one; counted where not given.
+
+    A small file is one task, whatever its rows grow to in the stages that follow, and
+    adaptive execution goes by bytes before they have grown.  Stages that group by the key
+    need no shuffle of their own afterwards, as long as the key is selected as it is.
+    """
+    number = rows.count() if number is None else number
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(-(-number // each), min(cores, number // 256 + 1)), key)
