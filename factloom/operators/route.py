@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..registry.categories import Category
+from ..registry.validation_rules import RULES, Rule
 from .fuse import VERIFIED
+from .validate import with_issues
 
 
 def status_and_flag(conflict: Column, has_issue: Column, confidence: Column) -> tuple[Column, Column]:
@@ -19,7 +24,16 @@ def route(fused: DataFrame, checks: DataFrame) -> DataFrame:
     """fused with status, flags and the issues of fields that aren't in conflict."""
     issue = F.struct("rule_ord", "field", "rule_id", "severity", "message")
     own = checks.where("failed").groupBy("product_id", "field").agg(F.sort_array(F.collect_list(issue)).alias("found"))
-    rows = fused.join(own, ["product_id", "field"], "left")
+    return _routed(fused, fused.join(own, ["product_id", "field"], "left"))
+
+
+def route_checked(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """route(fused, check_rules(fused, categories, rules)), for which fused is computed once and nothing is joined."""
+    return _routed(fused, with_issues(fused, categories, rules))
+
+
+def _routed(fused: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows: fused with `found`, each field's failed checks in the order of the rules."""
     status, flag = status_and_flag(F.col("conflict"), F.col("found").isNotNull(), F.col("confidence"))
     flags = F.concat("flags", F.when(flag.isNull(), F.array().cast("array<string>")).otherwise(F.array(flag)))
     nothing = F.array().cast("array<struct<field:string,rule_id:string,severity:string,message:string>>")

@@ -52,6 +52,12 @@ def _message(c: Column) -> Column:
     return F.when(c["failed"], text)
 
 
+def _ran(categories: Iterable[Category] | None, rules: Iterable[Rule]) -> Column:
+    """The checks that a product's numbers and texts allow, in the order of the rules."""
+    checks = F.array(*[_checked(r) for r in rules], *_domain_rules(categories if categories is not None else builtin()))
+    return F.filter(checks, lambda c: c["ran"])
+
+
 def check_rules(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
     """(product_id, rule_ord, rule_id, field, severity, ran, failed, message), every rule for every product.
 
@@ -60,11 +66,26 @@ def check_rules(fused: DataFrame, categories: Iterable[Category] | None = None,
     named = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("field", c))))
     # A product has at most as many rows as its category has fields.
     wide = fused.groupBy("product_id", "category").agg(named("value_num").alias("numbers"), named("value_str").alias("texts"))
-    checks = F.array(*[_checked(r) for r in rules], *_domain_rules(categories if categories is not None else builtin()))
-    rows = wide.select("product_id", "texts", F.posexplode(F.filter(checks, lambda c: c["ran"])).alias("rule_ord", "c"))
+    rows = wide.select("product_id", "texts", F.posexplode(_ran(categories, rules)).alias("rule_ord", "c"))
     return rows.select("product_id", "rule_ord", "c.rule_id", "c.field", "c.severity", "c.ran", "c.failed", _message(F.col("c")).alias("message"))
 
 
+def with_issues(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """fused with `found`, a field's failed checks (rule_ord, field, rule_id, severity, message); null where it has none.
+
+    A product's fields and their checks meet in one row, so fused is computed once and nothing is joined.
+    """
+    named = lambda c: F.map_from_entries(F.transform(F.filter("rows", lambda r: r[c].isNotNull()), lambda r: F.struct(r["field"], r[c])))
+    # A product has at most as many rows as its category has fields.
+    whole = fused.groupBy("product_id", "category").agg(F.collect_list(F.struct(*[c for c in fused.columns if c not in ("product_id", "category")])).alias("rows"))
+    wide = whole.withColumn("numbers", named("value_num")).withColumn("texts", named("value_str"))
+    placed = F.filter(F.transform(_ran(categories, rules), lambda c, i: F.struct(i.alias("rule_ord"), c.alias("c"))), lambda p: p["c"]["failed"])
+    issues = F.transform(placed, lambda p: F.struct(p["rule_ord"].alias("rule_ord"), *[p["c"][k].alias(k) for k in ("field", "rule_id", "severity")], _message(p["c"]).alias("message")))
+    rows = wide.withColumn("issues", issues).select("product_id", "category", "issues", F.explode("rows").alias("r")).select("product_id", "category", "issues", "r.*")
+    own = F.filter("issues", lambda i: i["field"] == F.col("field"))
+    return rows.select(*fused.columns, F.when(F.size(own) > 0, own).alias("found"))
+
+
 def validation(checks: DataFrame) -> DataFrame:
     """(product_id, rules_run, passed, issues) per product with any rule run; warnings don't fail it."""
     issue = F.struct("rule_ord", "field", "rule_id", "severity", "message")

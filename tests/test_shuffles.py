@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators.fuse import fuse
+from factloom.operators.route import route, route_checked
+from factloom.operators.validate import check_rules
 from factloom.plans import queries as q
 from factloom.workers import dealt
 
@@ -17,9 +20,18 @@ def test_dealt_grows_with_the_rows(spark):
     assert many.distinct().count() == 10_000
 
 
-@pytest.mark.parametrize("name", ["fuse_numeric", "fuse_fields", "enum_rule"])
+@pytest.mark.parametrize("name", ["fuse_numeric", "fuse_fields", "enum_rule", "route_status", "marketing_gated"])
 def test_one_shuffle(spark, sf, name, monkeypatch):
     monkeypatch.setattr(q, "PARTS_EACH", 20)
     df = q.queries()[name](spark, sf)
     assert shuffles(df) == 1
     assert df.rdd.getNumPartitions() == 10  # of 200 parts
+
+
+def test_routing_without_a_join(spark, sf):
+    """Fields meet their failed checks as they do by the join."""
+    fused = q._fused(spark, sf)
+    rules = ([q.PART], (*q.PART_RULES, *(q.Rule(f"w{i}", q.WARNING, ("weight",), lambda w, i=i: w != 40 + i, "weight is {0}") for i in range(8))))
+    a, b = (sorted(map(str, df.collect())) for df in (route(fused, check_rules(fused, *rules)), route_checked(fused, *rules)))
+    assert a == b and any(x.count("rule_id=") > 1 for x in a)
+    assert fuse(q._normalized(spark, sf)).columns == fused.columns
