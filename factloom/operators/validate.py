@@ -58,14 +58,24 @@ def _ran(categories: Iterable[Category] | None, rules: Iterable[Rule]) -> Column
     return F.filter(checks, lambda c: c["ran"])
 
 
+def _wide(fused: DataFrame, *kept: str) -> DataFrame:
+    """(product_id, category, rows, numbers, texts): a product's fields with what is kept of them, and their values by field."""
+    named = lambda c: F.map_from_entries(F.transform(F.filter("rows", lambda r: r[c].isNotNull()), lambda r: F.struct(r["field"], r[c])))
+    # A product has at most as many rows as its category has fields.
+    whole = fused.groupBy("product_id", "category").agg(F.collect_list(F.struct("field", *kept)).alias("rows"))
+    return whole.withColumn("numbers", named("value_num")).withColumn("texts", named("value_str"))
+
+
 def check_rules(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
     """(product_id, rule_ord, rule_id, field, severity, ran, failed, message), every rule for every product.
 
     Conflicts have no value, so rules that read them don't run.
     """
-    named = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("field", c))))
-    # A product has at most as many rows as its category has fields.
-    wide = fused.groupBy("product_id", "category").agg(named("value_num").alias("numbers"), named("value_str").alias("texts"))
+    return check_values(_wide(fused, "value_num", "value_str"), categories, rules)
+
+
+def check_values(wide: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """check_rules where each product is a row already: product_id, category, numbers and texts by field."""
     rows = wide.select("product_id", "texts", F.posexplode(_ran(categories, rules)).alias("rule_ord", "c"))
     return rows.select("product_id", "rule_ord", "c.rule_id", "c.field", "c.severity", "c.ran", "c.failed", _message(F.col("c")).alias("message"))
 
@@ -75,10 +85,7 @@ def with_issues(fused: DataFrame, categories: Iterable[Category] | None = None,
 
     A product's fields and their checks meet in one row, so fused is computed once and nothing is joined.
     """
-    named = lambda c: F.map_from_entries(F.transform(F.filter("rows", lambda r: r[c].isNotNull()), lambda r: F.struct(r["field"], r[c])))
-    # A product has at most as many rows as its category has fields.
-    whole = fused.groupBy("product_id", "category").agg(F.collect_list(F.struct(*[c for c in fused.columns if c not in ("product_id", "category")])).alias("rows"))
-    wide = whole.withColumn("numbers", named("value_num")).withColumn("texts", named("value_str"))
+    wide = _wide(fused, *[c for c in fused.columns if c not in ("product_id", "category", "field")])
     placed = F.filter(F.transform(_ran(categories, rules), lambda c, i: F.struct(i.alias("rule_ord"), c.alias("c"))), lambda p: p["c"]["failed"])
     issues = F.transform(placed, lambda p: F.struct(p["rule_ord"].alias("rule_ord"), *[p["c"][k].alias(k) for k in ("field", "rule_id", "severity")], _message(p["c"]).alias("message")))
     rows = wide.withColumn("issues", issues).select("product_id", "category", "issues", F.explode("rows").alias("r")).select("product_id", "category", "issues", "r.*")
@@ -86,6 +93,20 @@ def with_issues(fused: DataFrame, categories: Iterable[Category] | None = None,
     return rows.select(*fused.columns, F.when(F.size(own) > 0, own).alias("found"))
 
 
+def validated(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """validation(check_rules(fused, categories, rules)) from one row per product; products for which no rule ran are there too."""
+    return validated_values(_wide(fused, "value_num", "value_str"), categories, rules)
+
+
+def validated_values(wide: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """validated where each product is a row already, as for check_values."""
+    wide = wide.withColumn("checks", _ran(categories, rules))
+    failed = F.filter("checks", lambda c: c["failed"])
+    issues = F.transform(failed, lambda c: F.struct(*[c[k].alias(k) for k in ("field", "rule_id", "severity")], _message(c).alias("message")))
+    passed = ~F.exists("checks", lambda c: F.coalesce(c["failed"], F.lit(False)) & (c["severity"] == ERROR))
+    return wide.select("product_id", F.size("checks").cast("long").alias("rules_run"), passed.alias("passed"), issues.alias("issues"))
+
+
 def validation(checks: DataFrame) -> DataFrame:
     """(product_id, rules_run, passed, issues) per product with any rule run; warnings don't fail it."""
     issue = F.struct("rule_ord", "field", "rule_id", "severity", "message")

@@ -1,11 +1,12 @@
 """A row of a small file becomes many: it is dealt out by product once, and stages that group by product don't shuffle again."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators.fuse import fuse
 from factloom.operators.route import route, route_checked
-from factloom.operators.validate import check_rules
+from factloom.operators.validate import check_rules, validated, validation
 from factloom.plans import queries as q
 from factloom.workers import dealt
 
@@ -35,3 +36,22 @@ def test_routing_without_a_join(spark, sf):
     a, b = (sorted(map(str, df.collect())) for df in (route(fused, check_rules(fused, *rules)), route_checked(fused, *rules)))
     assert a == b and any(x.count("rule_id=") > 1 for x in a)
     assert fuse(q._normalized(spark, sf)).columns == fused.columns
+
+
+def test_validation_from_one_row(spark, sf, monkeypatch):
+    """Rules run, outcome and issues are those of the exploded checks."""
+    rules = ([q.PART], (*q.PART_RULES, q.Rule("w", q.WARNING, ("weight",), lambda w: w != 40, "weight is {0}")))
+    a, b = (sorted(map(str, df.collect())) for df in (validation(check_rules(q._fused(spark, sf), *rules)), validated(q._fused(spark, sf), *rules).where("rules_run > 0")))
+    assert a == b and any("passed=False" in x for x in a) and any("passed=True, issues=[Row" in x for x in a)
+
+
+def test_lines_written_alike_are_one(spark, sf, tmp_path):
+    """A line that comes twice is one of the SQL's rows, with both its checks; nothing but counts is shuffled."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines.unionAll(lines.limit(100)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    df = q.queries()["rules_run_passed"](spark, str(tmp_path))
+    assert shuffles(df) == 1 and "ObjectHashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    want = con.sql(q.oracle_sql()["rules_run_passed"])
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
