@@ -15,11 +15,14 @@ REVIEW_NOTE = "deterministic template review (offline)"
 def records(sources: DataFrame, source_counts: DataFrame, fields: DataFrame, routed: DataFrame, validated: DataFrame, queue: DataFrame, reviewed: DataFrame, copy: DataFrame, observed: DataFrame, mode: str = "mock") -> DataFrame:
     """product_id, category and the record's parts, for products whose sources could all be read.
 
-    Lists are in the order of the schema, the manifest or the queue.
+    Lists are in the order of the schema, the manifest or the queue.  source_counts has
+    a product's lines and fields_extracted as maps by src_ord.
     """
-    info = F.struct("src_ord", F.col("source_id").alias("id"), F.col("source_type").alias("type"), F.coalesce("title", "source_id").alias("title"), F.coalesce("authority", F.lit(0.8)).alias("authority"), F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("fields_extracted", F.lit(0)).alias("fields_extracted"), "path")
-    products = sources.join(source_counts, ["product_id", "src_ord"], "left").groupBy("product_id", "category", "product_ord").agg(F.sort_array(F.collect_list(info)).alias("sources"), F.max("error").alias("error"))
-    products = products.where("error is null").drop("error")
+    info = F.struct("src_ord", F.col("source_id").alias("id"), F.col("source_type").alias("type"), F.coalesce("title", "source_id").alias("title"), F.coalesce("authority", F.lit(0.8)).alias("authority"), "path")
+    products = sources.groupBy("product_id", "category", "product_ord").agg(F.sort_array(F.collect_list(info)).alias("sources"), F.max("error").alias("error"))
+    products = products.where("error is null").drop("error").join(source_counts, "product_id", "left")
+    counted = lambda c, s: F.coalesce(F.try_element_at(F.col(c), s["src_ord"]), F.lit(0)).alias(c)
+    listed = lambda s: F.struct(*[s[k].alias(k) for k in ("id", "type", "title", "authority")], *[counted(c, s) for c in ("lines", "fields_extracted")], s["path"].alias("path"))
     bare = lambda s: s.dropFields("src_ord", "rule_ord", "eff")
     one = F.struct(
         "field_ord", "field", "label", F.col("canonical_unit").alias("unit"), "type", "display", "confidence", "status", "flags",
@@ -39,7 +42,7 @@ def records(sources: DataFrame, source_counts: DataFrame, fields: DataFrame, rou
     zero = lambda c: F.coalesce(c, F.lit(0))
     return rows.select(
         "product_id", "product_ord", "category", F.coalesce("category_label", "category").alias("category_label"), F.lit(mode).alias("mode"),
-        F.transform("sources", lambda s: s.dropFields("src_ord")).alias("sources"), F.coalesce("fields", F.array().cast(rows.schema["fields"].dataType)).alias("fields"),
+        F.transform("sources", listed).alias("sources"), F.coalesce("fields", F.array().cast(rows.schema["fields"].dataType)).alias("fields"),
         F.coalesce("passed", F.lit(True)).alias("passed"), zero("rules_run").alias("rules_run"), F.coalesce("issues", F.array().cast(rows.schema["issues"].dataType)).alias("issues"),
         F.coalesce("queue", F.array().cast(rows.schema["queue"].dataType)).alias("needs_review_queue"), "description", "citations", "sentences_skipped",
         F.col("summary").alias("review_summary"), "fields_reviewed", "all_clear", F.coalesce("reviews", F.array().cast(rows.schema["reviews"].dataType)).alias("reviews"),

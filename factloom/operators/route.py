@@ -27,9 +27,9 @@ def route(fused: DataFrame, checks: DataFrame) -> DataFrame:
     return _routed(fused, fused.join(own, ["product_id", "field"], "left"))
 
 
-def route_checked(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+def route_checked(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES, ran: Column | None = None) -> DataFrame:
     """route(fused, check_rules(fused, categories, rules)), for which fused is computed once and nothing is joined."""
-    return _routed(fused, with_issues(fused, categories, rules))
+    return _routed(fused, with_issues(fused, categories, rules, ran))
 
 
 def _routed(fused: DataFrame, rows: DataFrame) -> DataFrame:

@@ -52,8 +52,8 @@ def _message(c: Column) -> Column:
     return F.when(c["failed"], text)
 
 
-def _ran(categories: Iterable[Category] | None, rules: Iterable[Rule]) -> Column:
-    """The checks that a product's numbers and texts allow, in the order of the rules."""
+def checks_run(categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> Column:
+    """The checks that a product's numbers and texts allow, in the order of the rules; made once, it serves several stages as their `ran`."""
     checks = F.array(*[_checked(r) for r in rules], *_domain_rules(categories if categories is not None else builtin()))
     return F.filter(checks, lambda c: c["ran"])
 
@@ -66,41 +66,41 @@ def _wide(fused: DataFrame, *kept: str) -> DataFrame:
     return whole.withColumn("numbers", named("value_num")).withColumn("texts", named("value_str"))
 
 
-def check_rules(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+def check_rules(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES, ran: Column | None = None) -> DataFrame:
     """(product_id, rule_ord, rule_id, field, severity, ran, failed, message), every rule for every product.
 
     Conflicts have no value, so rules that read them don't run.
     """
-    return check_values(_wide(fused, "value_num", "value_str"), categories, rules)
+    return check_values(_wide(fused, "value_num", "value_str"), categories, rules, ran)
 
 
-def check_values(wide: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+def check_values(wide: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES, ran: Column | None = None) -> DataFrame:
     """check_rules where each product is a row already: product_id, category, numbers and texts by field."""
-    rows = wide.select("product_id", "texts", F.posexplode(_ran(categories, rules)).alias("rule_ord", "c"))
+    rows = wide.select("product_id", "texts", F.posexplode(checks_run(categories, rules) if ran is None else ran).alias("rule_ord", "c"))
     return rows.select("product_id", "rule_ord", "c.rule_id", "c.field", "c.severity", "c.ran", "c.failed", _message(F.col("c")).alias("message"))
 
 
-def with_issues(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+def with_issues(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES, ran: Column | None = None) -> DataFrame:
     """fused with `found`, a field's failed checks (rule_ord, field, rule_id, severity, message); null where it has none.
 
     A product's fields and their checks meet in one row, so fused is computed once and nothing is joined.
     """
     wide = _wide(fused, *[c for c in fused.columns if c not in ("product_id", "category", "field")])
-    placed = F.filter(F.transform(_ran(categories, rules), lambda c, i: F.struct(i.alias("rule_ord"), c.alias("c"))), lambda p: p["c"]["failed"])
+    placed = F.filter(F.transform(checks_run(categories, rules) if ran is None else ran, lambda c, i: F.struct(i.alias("rule_ord"), c.alias("c"))), lambda p: p["c"]["failed"])
     issues = F.transform(placed, lambda p: F.struct(p["rule_ord"].alias("rule_ord"), *[p["c"][k].alias(k) for k in ("field", "rule_id", "severity")], _message(p["c"]).alias("message")))
     rows = wide.withColumn("issues", issues).select("product_id", "category", "issues", F.explode("rows").alias("r")).select("product_id", "category", "issues", "r.*")
     own = F.filter("issues", lambda i: i["field"] == F.col("field"))
     return rows.select(*fused.columns, F.when(F.size(own) > 0, own).alias("found"))
 
 
-def validated(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+def validated(fused: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES, ran: Column | None = None) -> DataFrame:
     """validation(check_rules(fused, categories, rules)) from one row per product; products for which no rule ran are there too."""
-    return validated_values(_wide(fused, "value_num", "value_str"), categories, rules)
+    return validated_values(_wide(fused, "value_num", "value_str"), categories, rules, ran)
 
 
-def validated_values(wide: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES) -> DataFrame:
+def validated_values(wide: DataFrame, categories: Iterable[Category] | None = None, rules: Iterable[Rule] = RULES, ran: Column | None = None) -> DataFrame:
     """validated where each product is a row already, as for check_values."""
-    wide = wide.withColumn("checks", _ran(categories, rules))
+    wide = wide.withColumn("checks", checks_run(categories, rules) if ran is None else ran)
     failed = F.filter("checks", lambda c: c["failed"])
     issues = F.transform(failed, lambda c: F.struct(*[c[k].alias(k) for k in ("field", "rule_id", "severity")], _message(c).alias("message")))
     passed = ~F.exists("checks", lambda c: F.coalesce(c["failed"], F.lit(False)) & (c["severity"] == ERROR))

@@ -140,14 +140,17 @@ def strip_tags(html: Column, references: Mapping[str, str] | None = None) -> Col
     return F.regexp_replace(x, "[ \t]+", " ")
 
 
-def blocks(sources: DataFrame) -> DataFrame:
-    """One row per citable line; only pages pass through Python workers."""
+def blocks(sources: DataFrame, parts: int | None = None) -> DataFrame:
+    """One row per citable line, by product in so many parts; only pages pass through Python workers."""
     reach_package(sources.sparkSession)
     keep = ["product_id", "category", "src_ord", "source_id", "source_type", "authority"]
     fine = sources.where("error is null and raw_text is not null")
-    web = fine.where("source_type = 'web'").withColumn("raw_text", html_text("raw_text"))
-    rest = fine.where("source_type <> 'web' or source_type is null")
-    lines = rest.unionByName(web).select(*keep, F.explode(split_lines(F.col("raw_text"))).alias("l"))
+    # In one pass, in which the parser is given nothing of other documents.
+    web = F.col("source_type") == "web"
+    read = fine.withColumn("raw_text", F.when(web, html_text(F.when(web, F.col("raw_text")))).otherwise(F.col("raw_text")))
+    if parts is not None:
+        read = read.select(*keep, "raw_text").repartition(parts, "product_id")
+    lines = read.select(*keep, F.explode(split_lines(F.col("raw_text"))).alias("l"))
     text = F.col("l.text")
     return lines.select(*keep, F.col("l.line").alias("line_start"), F.col("l.line").alias("line_end"), text.alias("text"), F.lit("").alias("meta"))
 

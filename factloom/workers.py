@@ -35,13 +35,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def dealt(rows: DataFrame, key: str, each: int, number: int | None = None) -> DataFrame:
-    """rows by hash of the key over as many partitions as `number` of them needs, about `each` in one; counted where not given.
+def parts_for(spark: SparkSession, number: int, each: int) -> int:
+    """How many partitions so many rows need, with about `each` in one; few rows still go to several cores."""
+    return max(-(-number // each), min(spark.sparkContext.defaultParallelism, number // 256 + 1))
+
+
+def dealt(rows: DataFrame, key: str, each: int) -> DataFrame:
+    """rows by hash of the key over as many partitions as their number needs, about `each` in one.
 
     A small file is one task, whatever its rows grow to in the stages that follow, and
     adaptive execution goes by bytes before they have grown.  Stages that group by the key
     need no shuffle of their own afterwards, as long as the key is selected as it is.
     """
-    number = rows.count() if number is None else number
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(-(-number // each), min(cores, number // 256 + 1)), key)
+    return rows.repartition(parts_for(rows.sparkSession, rows.count(), each), key)

@@ -8,6 +8,8 @@ from factloom.operators.fuse import fuse
 from factloom.operators.route import route, route_checked
 from factloom.operators.validate import check_rules, validated, validation
 from factloom.plans import queries as q
+from factloom.plans.fusion import run, tables_in
+from factloom.sources.manifests import synthetic
 from factloom.workers import dealt
 
 
@@ -29,6 +31,23 @@ def test_one_shuffle(spark, sf, name, monkeypatch):
     assert df.rdd.getNumPartitions() == 10  # of 200 parts
 
 
+def test_whole_plan_shuffles_once(spark, tmp_path):
+    """Each kept stage has one shuffle at most, the records none but of what sources and their lines are; results are the same."""
+    seen = {}
+
+    def told(name, df):
+        seen[name] = shuffles(df)
+        return tables_in(str(tmp_path), 3)(name, df)
+
+    result, plain = run(synthetic(spark, 40), keep=told, parts=3), run(synthetic(spark, 40))
+    assert seen == {"observations": 1, "routed": 0}
+    assert result.routed.groupBy("product_id").count().rdd.getNumPartitions() == 3
+    for name in ("records", "catalog"):
+        a, b = (sorted(map(str, getattr(r, name).collect())) for r in (result, plain))
+        assert a == b and len(a) == 40
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("factloom_")]
+
+
 def test_routing_without_a_join(spark, sf):
     """Fields meet their failed checks as they do by the join."""
     fused = q._fused(spark, sf)
